@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_AROUND = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-
 
 def _cell(c: Column, size: float) -> Column:
     return F.floor(c / F.lit(float(size)))

@@ -15,6 +15,7 @@ from ..functions.similarity import with_category
 from ..functions.text import is_wet_room, name_key, room_key, tile_height, zero_to_null
 from ..operators.ordering import ordinal
 from ..operators.spatial import nearest
+from ..session import cut
 
 # --- fixed values -----------------------------------------------------------------
 BUILDING_DEFAULTS = {
@@ -84,9 +85,10 @@ def assign_openings(rooms: DataFrame, openings: DataFrame, scope: str = "projekt
     r = rooms.select("room_id", scope, name_key(F.col("name")).alias("nk"), "cx", "cy")
     o = openings.select("opening_id", scope, "cx", "cy",
                         F.when(F.col("raum") != "", name_key(F.col("raum"))).alias("nk"))
+    r = cut(r)  # narrow keys, written once: four branches read them
     names = r.groupBy(scope, "nk").agg(
         F.count(F.lit(1)).alias("n"), F.min("room_id").alias("one"), F.count("cx").alias("n_pos"))
-    tagged = o.join(names, [scope, "nk"], "left")
+    tagged = cut(o.join(names, [scope, "nk"], "left"))
     has_pos = F.col("cx").isNotNull() & F.col("cy").isNotNull()
 
     unique = tagged.filter("n = 1").select("opening_id", F.col("one").alias("room_id"), F.lit("name").alias("zuordnung"))
