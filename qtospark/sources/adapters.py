@@ -65,7 +65,7 @@ ADAPTERS: dict[str, tuple[str, list[tuple[str, str]]]] = {
         ("name", pick("CAST(l_partkey % 24 AS INT)", ROOM_NAMES)),
         ("wohnung", "'TOP ' || CAST(1 + l_suppkey % 3 AS STRING)"),
         ("geschoss", pick("CAST(l_orderkey % 4 AS INT)", STOREYS)),
-        ("flaeche_m2", f"(CASE WHEN l_partkey % 13 = 0 THEN NULL WHEN l_partkey % 24 = 19 THEN {AREA} * 6.0 ELSE {AREA} END)"),
+        ("flaeche_m2", f"(CASE WHEN l_partkey % 13 = 0 THEN NULL WHEN l_partkey % 24 = 19 THEN {AREA} * 6.0 WHEN l_partkey % 24 = 14 THEN {AREA} * 4.0 ELSE {AREA} END)"),
         ("umfang_m", f"(CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE round(4.0 * sqrt({AREA}) * (1.0 + l_discount), 2) END)"),
         ("hoehe_m", "(CASE WHEN l_suppkey % 7 = 0 THEN NULL WHEN l_suppkey % 29 = 3 THEN 5.2 ELSE round(2.3 + (l_linenumber % 5) * 0.1 + (l_suppkey % 10) * 0.08, 2) END)"),
         ("bodenbelag", pick("CAST(l_suppkey % 5 AS INT)", FLOORS)),
