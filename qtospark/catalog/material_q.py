@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans import materials as M
+from ..session import spread
 from ..plans.trades import best_building, fill_building
 from . import Tables, query
 from .trades_q import BD, KAT, OUTER
@@ -170,7 +171,7 @@ ROOF_TEXT = """'Dach' || chr(10) || 'Dachfläche Nord: 5,50 x ' || CAST(l_linenu
 
 
 def _roof(t: Tables):
-    return t.lineitem.selectExpr("CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS page", "l_linenumber AS ord", f"{ROOF_TEXT} AS text")
+    return spread(t.lineitem).selectExpr("CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS page", "l_linenumber AS ord", f"{ROOF_TEXT} AS text")
 
 
 @query("roof_totals", "C23 U4", """

@@ -10,7 +10,7 @@ def order_stats(df: DataFrame, keys: list[str], value: str, picks: dict[str, str
     """Exact order statistics per group from value counts.
 
     ``picks`` maps output name to ``median`` (mean of the two middles), ``upper``
-    (s[n//2]), ``lower`` (s[(n-1)//2]), ``q1`` (s[n//4]), ``q3`` (s[3n//4]) or ``n``.
+    (s[n//2]), ``pNN`` (s[int(NN%·(n−1))]), ``lower`` (s[(n-1)//2]), ``q1`` (s[n//4]), ``q3`` (s[3n//4]) or ``n``.
 
     Values are counted first (map-side combine), so what reaches the window is one row
     per distinct value of a group - readings are rounded to the centimetre, so that is
@@ -32,6 +32,8 @@ def order_stats(df: DataFrame, keys: list[str], value: str, picks: dict[str, str
     for out, what in picks.items():
         if what == "n":
             aggs.append(F.max(t).alias(out))
+        elif what.startswith("p"):  # index percentile, s[int(p·(n−1))]
+            aggs.append(at(F.floor(F.lit(float(what[1:]) / 100.0) * (t - 1))).alias(out))
         elif what == "median":
             aggs.append(((at(index["lower"]) + at(index["upper"])) / 2.0).alias(out))
         else:
@@ -87,3 +89,16 @@ def running_number(df: DataFrame, keys: list[str], bucket: Column, order: list,
         d.withColumn("_l", local).join(offs.drop("_c"), kb)
         .withColumn(out, F.col("_l") + F.col("_off")).drop("_bk", "_l", "_off")
     )
+
+
+def running_sum(df: DataFrame, keys: list[str], bucket: Column, order: list, value: str, out: str) -> DataFrame:
+    """Cumulative sum per group in ``order``, two-level like :func:`running_number`."""
+    d = df.withColumn("_bk", bucket)
+    kb = [*keys, "_bk"]
+    sums = d.groupBy(*kb).agg(F.sum(value).alias("_s"))
+    offs = sums.withColumn("_off", F.sum("_s").over(Window.partitionBy(*keys).orderBy("_bk")) - F.col("_s"))
+    w = Window.partitionBy(*kb).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        d.withColumn("_l", F.sum(value).over(w)).join(offs.drop("_s"), kb)
+        .withColumn(out, F.col("_l") + F.col("_off")).drop("_bk", "_l", "_off")
+    )

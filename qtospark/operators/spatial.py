@@ -114,3 +114,32 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, ri
         pairs = pairs.filter(F.col(cap).isNull() | (F.col("_d") < F.col(cap)))
     best = pairs.groupBy(left_id).agg(F.min(F.struct("_d", "_rid")).alias("_b"))
     return best.select(left_id, F.col("_b._rid").alias(right_id), F.col("_b._d").alias("dist"))
+
+
+def proximity_edges(df: DataFrame, keys: list[str], node: str, tol: float, x: str = "cx", y: str = "cy",
+                    metric: str = "box") -> DataFrame:
+    """Edges ``(src, dst)`` whose components equal those of "closer than ``tol``".
+
+    Not every close pair is emitted: rows on one spot hang on the smallest of them, spots of
+    one cell hang on the cell's smallest (a cell is small enough that all its spots are
+    close), and between two cells each spot keeps one partner.  A crowd of n rows gives
+    O(n) edges.
+    """
+    side = tol if metric == "box" else tol / 1.4142135623730951
+    reach = 1 if metric == "box" else 2
+    pts = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, node, x, y)
+    spots = pts.groupBy(*keys, x, y).agg(F.min(node).alias("_n"))
+    same_spot = pts.join(spots, [*keys, x, y]).filter(F.col(node) != F.col("_n")).select(F.col("_n").alias("src"), F.col(node).alias("dst"))
+    cells = spots.withColumn("_gx", F.floor(F.col(x) / side)).withColumn("_gy", F.floor(F.col(y) / side))
+    heads = cells.groupBy(*keys, "_gx", "_gy").agg(F.min("_n").alias("_h"))
+    in_cell = cells.join(heads, [*keys, "_gx", "_gy"]).filter("_n <> _h").select(F.col("_h").alias("src"), F.col("_n").alias("dst"))
+    # half of the neighbourhood is enough: the relation is symmetric
+    offs = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if (i, j) > (0, 0)]
+    around = F.array(*[F.struct(F.lit(i).cast("bigint").alias("_dx"), F.lit(j).cast("bigint").alias("_dy")) for i, j in offs])
+    lhs = cells.select("*", F.inline(around)).withColumn("_gx", F.col("_gx") + F.col("_dx")).withColumn("_gy", F.col("_gy") + F.col("_dy"))
+    rhs = cells.select(*keys, "_gx", "_gy", F.col(x).alias("r_" + x), F.col(y).alias("r_" + y), F.col("_n").alias("_m"))
+    j = lhs.join(rhs, [*keys, "_gx", "_gy"])
+    ex, ey = F.abs(F.col(x) - F.col("r_" + x)), F.abs(F.col(y) - F.col("r_" + y))
+    close = ((ex < tol) & (ey < tol)) if metric == "box" else (F.sqrt(ex * ex + ey * ey) < tol)
+    cross = j.filter(close).groupBy("_n", "_gx", "_gy").agg(F.min("_m").alias("_m")).select(F.col("_n").alias("src"), F.col("_m").alias("dst"))
+    return same_spot.unionByName(in_cell).unionByName(cross)

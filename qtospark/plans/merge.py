@@ -109,3 +109,244 @@ def priority_merge(rooms: DataFrame, key: list[str]) -> DataFrame:
         F.min_by(F.nullif("bodenbelag", F.lit("")), F.when(F.nullif("bodenbelag", F.lit("")).isNotNull(), first)).alias("bodenbelag"),
         F.bool_or(F.col("ok_f") & F.col("flaeche_m2").isNotNull()).alias("verifiziert_f"),
         F.count_distinct("plan_id").alias("n_plaene"))
+
+
+def combine_openings(windows: DataFrame, doors: DataFrame, scope: str = "projekt_id", near: float = 30.0, tol: float = 0.2) -> DataFrame:
+    """Windows and doors as one list; a door on the spot of an earlier opening is the same one.
+
+    Within 30 points and sizes within 0.2 m (or one side unsized) the sized variant stays.
+    Doors are walked in id order, so the outcome equals the sequential list walk.
+    """
+    from ..operators.graph import greedy_leaders
+    from ..operators.spatial import box_join
+
+    w = windows.withColumn("_r", F.lit(0))
+    d = doors.withColumn("_r", F.lit(1))
+    both = w.unionByName(d)
+    sized = lambda px: F.coalesce((F.col(px + "breite_m") > 0) & (F.col(px + "hoehe_m") > 0), F.lit(False))
+    earlier = F.struct("r__r", "r_opening_id") < F.struct("_r", "opening_id")
+    same = ~(sized("") & sized("r_")) | (
+        (F.abs(F.col("breite_m") - F.col("r_breite_m")) <= tol) & (F.abs(F.col("hoehe_m") - F.col("r_hoehe_m")) <= tol))
+    cols = ["opening_id", scope, "cx", "cy", "breite_m", "hoehe_m", "_r"]
+    pos = both.select(*cols).filter("cx is not null and cy is not null")
+    # exact copies decide alike: compare one per spot and size, copies follow it
+    spot = [scope, "cx", "cy", "breite_m", "hoehe_m", "_r"]
+    reps = pos.groupBy(*spot).agg(F.min("opening_id").alias("opening_id"))
+    pairs = box_join(reps.filter("_r = 1"), reps, [scope], near, condition=earlier & same)
+    copies = pos.filter("_r = 1").alias("p").join(
+        reps.filter("_r = 1").select(*[F.col(c).alias("q_" + c) for c in spot], F.col("opening_id").alias("rep")),
+        (F.col("q_" + scope) == F.col(scope)) & (F.col("q_cx") == F.col("cx")) & (F.col("q_cy") == F.col("cy"))
+        & F.col("q_breite_m").eqNullSafe(F.col("breite_m")) & F.col("q_hoehe_m").eqNullSafe(F.col("hoehe_m")))
+    copies = copies.filter("rep <> opening_id").select("opening_id", "rep")
+    pairs = pairs.select(F.col("r_opening_id").alias("a"), F.col("opening_id").alias("b"))
+    lead = greedy_leaders(reps, pairs, "opening_id", "_r")
+    lead = lead.unionByName(copies.join(lead.withColumnRenamed("opening_id", "rep"), "rep").select("opening_id", "leader"))
+    rest = both.select("opening_id").join(lead, "opening_id", "left_anti").withColumn("leader", F.col("opening_id"))
+    lead = lead.unionByName(rest)
+    j = both.join(lead, "opening_id")
+    # the leader's row stays unless it has no size and a matched door has one
+    unsized = F.when(sized(""), 0).otherwise(1)
+    follower = F.when(F.col("opening_id") == F.col("leader"), 0).otherwise(1)
+    order = F.struct(unsized, follower, F.col("opening_id"))
+    keep = [c for c in both.columns if c != "_r"]
+    return j.groupBy("leader").agg(F.min_by(F.struct(*keep), order).alias("o"), F.count(F.lit(1)).alias("n_quellen")).select("o.*", "n_quellen")
+
+
+def cluster_openings(openings: DataFrame, scope: str = "projekt_id", tol: float = 0.08, mixed_tol: float = 0.20) -> DataFrame:
+    """Readings of one opening from several plans to one row per physical opening.
+
+    An unsized reading goes when its room has sized ones, a vision reading when its room
+    has text readings; the rest is clustered by size per room in priority order, and the
+    leader's missing fields are filled from its cluster.
+    """
+    from ..operators.graph import greedy_leaders
+    from ..operators.spatial import box_join
+
+    rk = F.lower(F.trim(F.coalesce("raum", F.lit(""))))
+    o = openings.withColumn("rk", rk).withColumn("sized", F.coalesce((F.col("breite_m") > 0) & (F.col("hoehe_m") > 0), F.lit(False)))
+    o = o.withColumn("is_text", F.col("quelle") == "text")
+    has = o.filter("rk <> ''").groupBy(scope, "rk").agg(F.bool_or("sized").alias("_s"), F.bool_or("is_text").alias("_t"))
+    o = o.join(has, [scope, "rk"], "left").filter(
+        (F.col("sized") | ~F.coalesce("_s", F.lit(False))) & (F.col("is_text") | ~F.coalesce("_t", F.lit(False)))).drop("_s", "_t")
+    rank = F.struct(F.when(F.col("sized"), 0).otherwise(1).alias("a"), F.when(F.col("is_text"), 0).otherwise(1).alias("b"),
+                    (-F.coalesce("konfidenz", F.lit(0.0))).alias("c"))
+    o = o.withColumn("_rank", rank)
+    # equal readings decide alike, so clusters are formed over distinct readings
+    sig = [scope, "rk", "breite_m", "hoehe_m", "is_text", "art"]
+    s = o.filter("sized").groupBy(*sig).agg(F.min(F.struct("_rank", "opening_id")).alias("_m")).select(*sig, "_m._rank", "_m.opening_id")
+    limit = F.when(F.col("is_text") != F.col("r_is_text"), F.lit(mixed_tol)).otherwise(F.lit(tol))
+    earlier = F.struct("r__rank", "r_opening_id") < F.struct("_rank", "opening_id")
+    near = (F.abs(F.col("breite_m") - F.col("r_breite_m")) <= limit) & (F.abs(F.col("hoehe_m") - F.col("r_hoehe_m")) <= limit)
+    pairs = box_join(s, s, [scope, "rk", "art"], mixed_tol, x="breite_m", y="hoehe_m", condition=earlier & near)
+    lead = greedy_leaders(s, pairs.select(F.col("r_opening_id").alias("a"), F.col("opening_id").alias("b")), "opening_id", "_rank")
+    rep = s.select(*sig, F.col("opening_id").alias("_rep")).join(lead.withColumnRenamed("opening_id", "_rep"), "_rep")
+    sized = o.filter("sized").join(rep.drop("_rep"), sig)
+    # unsized readings cluster by their label
+    lab = F.lower(F.trim(F.coalesce("code", F.lit(""))))
+    un = o.filter("not sized").withColumn("_lab", F.when(lab == "", F.col("opening_id")).otherwise(lab))
+    uh = un.groupBy(scope, "rk", "art", "_lab").agg(F.min(F.struct("_rank", "opening_id")).alias("_m"))
+    un = un.join(uh, [scope, "rk", "art", "_lab"]).withColumn("leader", F.col("_m.opening_id")).drop("_m", "_lab")
+    alls = sized.unionByName(un)
+    order = F.struct("_rank", "opening_id")
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
+    return alls.groupBy("leader").agg(
+        F.min_by(scope, order).alias(scope), F.min_by("art", order).alias("art"), F.min_by("raum", order).alias("raum"),
+        first("breite_m"), first("hoehe_m"), first("fph_m"), first("wand_typ"), first("code"), F.count(F.lit(1)).alias("n"))
+
+
+def cousin_edges(rooms: DataFrame, tol: float = 0.30) -> DataFrame:
+    """Rooms of a project with the same first four letters or last word and sizes within 30 %.
+
+    Sizes are compared on a log grid, where "within 30 %" is a box of fixed width.
+    """
+    import math
+
+    from ..operators.spatial import proximity_edges
+
+    n = F.lower(F.trim("name"))
+    words = F.filter(F.split(F.regexp_replace(n, r"\s*\d+\s*$", ""), r"[\s/\-]+"), lambda w: w != "")
+    first = F.substring(F.get(words, F.lit(0)), 1, 4)
+    last = F.element_at(words, -1)
+    r = rooms.filter("flaeche_m2 > 0 and umfang_m > 0").withColumn("_f", F.log("flaeche_m2")).withColumn("_u", F.log("umfang_m"))
+    keys = F.array_distinct(F.array_compact(F.array(
+        F.when((F.length(first) >= 4) & ~first.isin("zimm"), F.concat(F.lit("a:"), first)),
+        F.when(F.length(last) >= 4, F.concat(F.lit("z:"), last)))))
+    r = r.withColumn("_blk", F.explode(keys))
+    return proximity_edges(r, ["projekt_id", "wohnung", "_blk"], "room_id", -math.log(1.0 - tol), "_f", "_u")
+
+
+def merge_components(rooms: DataFrame, edges: DataFrame) -> DataFrame:
+    """Winner per component by completeness; losers carry the winner's id."""
+    from ..operators.graph import connected_components
+
+    comp = connected_components(edges)
+    filled = sum(F.when(zero_to_null(F.col(c)).isNotNull(), 10).otherwise(0) for c in ("flaeche_m2", "umfang_m", "hoehe_m"))
+    score = filled + F.when(F.nullif("bodenbelag", F.lit("")).isNotNull(), 10).otherwise(0) + 3 * F.size(F.split(F.trim("name"), r"\s+"))
+    r = rooms.join(comp, rooms["room_id"] == comp["node"], "left").withColumn("component", F.coalesce("component", "room_id")).withColumn("score", score)
+    best = r.groupBy("component").agg(F.max(F.struct("score", "room_id")).alias("b")).select("component", F.col("b.room_id").alias("sieger"))
+    return r.join(best, "component").select("room_id", "component", "score", "sieger", (F.col("room_id") != F.col("sieger")).alias("verlierer"))
+
+
+def prefix_duplicates(rooms: DataFrame) -> DataFrame:
+    """Edges between rooms of a storey with equal area (±1 cm²) where one name starts the other.
+
+    "Starts with" is an equi-join: every prefix of the longer name is a key.
+    """
+    nm = F.regexp_replace(F.lower(F.coalesce("name", F.lit(""))), "[^a-zäöüß0-9]", "")
+    r = rooms.filter("flaeche_m2 > 0").withColumn("nm", nm).filter(F.length("nm") >= 3)
+    r = r.withColumn("ct", F.rint(F.col("flaeche_m2") * 100).cast("bigint"))
+    d = r.groupBy("projekt_id", "geschoss", "nm", "ct").agg(F.min("room_id").alias("rid"))
+    pre = F.transform(F.sequence(F.lit(3), F.length("nm")), lambda i: F.substring(F.col("nm"), F.lit(1), i))
+    longer = d.select("projekt_id", "geschoss", F.col("nm").alias("lang"), F.col("rid").alias("dst"), F.explode(F.filter(pre, lambda q: q != F.col("nm"))).alias("nm"), "ct")
+    longer = longer.withColumn("ct", F.explode(F.array(F.col("ct") - 1, F.col("ct"), F.col("ct") + 1)))
+    return d.join(longer, ["projekt_id", "geschoss", "nm", "ct"]).select(F.col("rid").alias("src"), "dst").distinct()
+
+
+def pair_text_vision(text_rooms: DataFrame, vision_rooms: DataFrame, scope: str = "projekt_id") -> DataFrame:
+    """i-th text room with i-th vision room of equal name and area (0.1 m²)."""
+    from ..operators.ordering import ordinal
+
+    def side(df, out):
+        k = df.select(scope, "room_id", name_key(F.col("name")).alias("nk"), F.coalesce(F.floor(F.col("flaeche_m2") * 10 + 0.5), F.lit(0)).alias("fk"))
+        return ordinal(k, [scope, "nk", "fk"], "room_id", "i").withColumnRenamed("room_id", out)
+
+    return side(text_rooms, "text_id").join(side(vision_rooms, "vision_id"), [scope, "nk", "fk", "i"]).select("text_id", "vision_id")
+
+
+def fill_from_other_plans(rooms: DataFrame) -> DataFrame:
+    """Missing area, perimeter, height and floor from the same-named room of another plan."""
+    key = ["projekt_id", "nk"]
+    r = rooms.withColumn("nk", name_key(F.col("name")))
+    order = F.struct("plan_id", "room_id")
+    fields = ["flaeche_m2", "umfang_m", "hoehe_m", "bodenbelag"]
+    val = {c: (F.nullif(F.col(c), F.lit("")) if c == "bodenbelag" else zero_to_null(F.col(c))) for c in fields}
+    src = r.groupBy(*key).agg(*[F.min_by(val[c], F.when(val[c].isNotNull(), order)).alias("_" + c) for c in fields])
+    return r.join(src, key).select("room_id", *[F.coalesce(val[c], F.col("_" + c)).alias(c) for c in fields])
+
+
+def infer_heights(rooms: DataFrame) -> DataFrame:
+    """Missing indoor heights get the project's upper median; outdoor areas are flagged instead."""
+    from ..operators.ordering import order_stats
+
+    outdoor = F.coalesce(F.col("kategorie") == "Loggia", F.lit(False))
+    has = F.coalesce(F.col("hoehe_m") > 0, F.lit(False))
+    med = order_stats(rooms.filter(has & ~outdoor), ["projekt_id"], "hoehe_m", {"_h": "upper"})
+    j = rooms.join(med, "projekt_id", "left")
+    return j.select(
+        "room_id", F.when(has, F.col("hoehe_m")).when(~outdoor, F.col("_h")).alias("hoehe_m"),
+        (~has & ~outdoor & F.col("_h").isNotNull()).alias("abgeleitet"), (~has & outdoor).alias("nicht_anwendbar"))
+
+
+def foreign_units(rooms: DataFrame, scope: str = "projekt_id") -> DataFrame:
+    """Flats outside the dominant one: excluded with at least two of three indications."""
+    from ..operators.ordering import order_stats
+
+    k = [scope, "einheit"]
+    r = rooms.withColumn("einheit", name_key(F.col("wohnung")))
+    g = r.groupBy(*k).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("plan_id").alias("plaene"))
+    g = g.withColumn("score", F.col("n") + F.col("plaene"))
+    g = g.join(order_stats(r.filter("hoehe_m > 0"), k, "hoehe_m", {"mh": "upper"}), k, "left")
+    dom = g.groupBy(scope).agg(F.max(F.struct("score", F.col("einheit"), F.col("mh"))).alias("d"), F.count(F.lit(1)).alias("_k"))
+    j = g.join(dom, scope).filter("_k > 1 and einheit <> d.einheit")
+    code = F.col("einheit").rlike(r"w\d|top\d|og|kg|ug|dg")
+    single = F.col("plaene") <= 1
+    off = F.coalesce(F.abs(F.col("mh") - F.col("d.mh")) > 0.15, F.lit(False))
+    hints = code.cast("int") + single.cast("int") + off.cast("int")
+    return j.select(scope, "einheit", "score", code.alias("code"), single.alias("ein_plan"), off.alias("hoehe"), (hints >= 2).alias("ausgeschlossen"))
+
+
+ANNOTATION_WORDS = ["richtung", "rtg", "norden", "süden", "osten", "westen", "sued", "nord", "ost", "west", "ne", "nw", "se", "sw"]
+
+
+def hallucination_filter(rooms: DataFrame, storey: str = "EG") -> DataFrame:
+    """Reason why a vision room is dropped, or null (ordered rules, first one wins)."""
+    sn = F.lower(F.trim("name"))
+    r = rooms.withColumn("sn", sn).withColumn("stamm", F.regexp_extract("sn", r"^([a-zäöüß]+)\s*(\d+)$", 1)).withColumn(
+        "nr", F.nullif(F.regexp_extract("sn", r"^([a-zäöüß]+)\s*(\d+)$", 2), F.lit("")).try_cast("int"))
+    txt = r.filter("quelle = 'text'").select("projekt_id", "sn").distinct()
+    strong = txt.groupBy("projekt_id").agg((F.count(F.lit(1)) >= 5).alias("_stark"))
+    names = r.groupBy("projekt_id", "sn", "stamm", "nr").agg(F.count_distinct("plan_id").alias("q"))
+    # numbered rooms: highest number among peers seen in more plans
+    top = names.filter("nr is not null").alias("a").join(
+        names.filter("nr is not null").select("projekt_id", "stamm", F.col("nr").alias("nr2"), F.col("q").alias("q2")), ["projekt_id", "stamm"]).filter("q2 >= q + 1")
+    top = top.groupBy("projekt_id", "sn").agg(F.max("nr2").alias("_max"))
+    words = names.select("projekt_id", "sn", F.explode(F.split("sn", " ")).alias("w")).filter("w <> sn")
+    sub = words.select("projekt_id", F.col("w").alias("sn")).distinct().withColumn("_teil", F.lit(True))
+    j = (
+        r.join(txt.withColumn("_t", F.lit(True)), ["projekt_id", "sn"], "left").join(strong, "projekt_id", "left")
+        .join(top, ["projekt_id", "sn"], "left").join(sub, ["projekt_id", "sn"], "left"))
+    vision = (F.col("quelle") != "text") & F.coalesce("_stark", F.lit(False))
+    full = F.coalesce((F.col("flaeche_m2") > 0) & (F.col("umfang_m") > 0) & (F.col("hoehe_m") > 0), F.lit(False))
+    reason = (
+        F.when(vision & F.col("_t").isNull(), F.lit("ohne Textbeleg"))
+        .when(vision & (F.coalesce("bodenbelag", F.lit("")) == ""), F.lit("ohne Bodenbelag"))
+        .when(F.col("sn").rlike(r"\bog\b|obergeschoss") & F.lit(storey.upper().startswith("EG")), F.lit("OG im EG-Plan"))
+        .when(F.col("nr").isNotNull() & ~full & (F.col("nr") > F.col("_max")), F.lit("höhere Nummer"))
+        .when(F.col("_teil"), F.lit("Teilname"))
+        .when(F.arrays_overlap(F.split("sn", " "), F.array(*[F.lit(x) for x in ANNOTATION_WORDS])), F.lit("Anmerkung")))
+    return j.select("room_id", reason.alias("grund"))
+
+
+def perimeter_lookup(rooms: DataFrame, measured: DataFrame) -> DataFrame:
+    """Perimeter by (name, area within max(0.05, 1 %)): one match, else null.
+
+    Areas are matched on a logarithmic bucket of 2 % with its neighbours; measured rooms are
+    reduced to distinct (name, area, perimeter) first.
+    """
+    import math
+
+    w = math.log(1.03)
+    m = measured.filter("flaeche_m2 > 0 and umfang_m > 0").groupBy("projekt_id", name_key(F.col("name")).alias("nk"), F.col("flaeche_m2").alias("mf")).agg(
+        F.count(F.lit(1)).alias("mn"), F.min("umfang_m").alias("mu"))
+    m = m.withColumn("_b", F.floor(F.log(F.col("mf") + 2.0) / w))
+    r = rooms.filter("flaeche_m2 > 0").select("room_id", "projekt_id", name_key(F.col("name")).alias("nk"), F.col("flaeche_m2").alias("f"))
+    b = F.floor(F.log(F.col("f") + 2.0) / w)
+    r = r.withColumn("_b", F.explode(F.array(b - 1, b, b + 1)))
+    hit = r.join(m, ["projekt_id", "nk", "_b"]).filter(F.abs(F.col("mf") - F.col("f")) <= F.greatest(F.lit(0.05), 0.01 * F.col("f")))
+    g = hit.groupBy("room_id").agg(F.sum("mn").alias("n"), F.min("mu").alias("u"))
+    return g.select("room_id", "n", F.when(F.col("n") == 1, F.col("u")).alias("umfang_m"))
+
+
+def remap_copy(df: DataFrame, mapping: DataFrame, key: str = "projekt_id") -> DataFrame:
+    """Rows of mapped keys copied under their new key (``mapping(old, new)``)."""
+    return df.join(mapping, df[key] == mapping["old"]).withColumn(key, F.col("new")).drop("old", "new")

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 # --- fixed values -----------------------------------------------------------------
 ROOM_NAMES = [
     "Wohnzimmer", "Schlafzimmer", "Küche", "Bad", "WC", "Flur",
@@ -197,14 +199,16 @@ DOUBLES = {
 SPAN_PLAN = PROJECT
 SPAN_X = "((l_partkey % 23) * 43.0 + l_suppkey % 11)"
 SPAN_Y = "((l_suppkey % 29) * 37.0 + l_partkey % 7)"
+SPOT_X = "((l_partkey % 8) * 90.0 + l_suppkey % 23)"
+SPOT_Y = "((l_suppkey % 6) * 80.0 + l_partkey % 29)"
 SPAN_KINDS: list[tuple[str, str, str, str, str]] = [
     # kind, text, x, y, size
     ("name", pick("CAST(l_partkey % 24 AS INT)", ROOM_NAMES), SPAN_X, SPAN_Y, "9.0"),
     ("flaeche", "'F: ' || replace(CAST(CAST(l_quantity * 0.7 + 2.0 AS DECIMAL(10,2)) AS STRING), '.', ',') || ' m²'", f"{SPAN_X} + 4.0", f"{SPAN_Y} + 12.0", "7.0"),
     ("umfang", "'U: ' || replace(CAST(CAST(l_quantity * 0.3 + 6.0 AS DECIMAL(10,2)) AS STRING), '.', ',') || ' m'", f"{SPAN_X} + 4.0", f"{SPAN_Y} + 20.0", "7.0"),
     ("hoehe", "'RH=' || replace(CAST(CAST(2.4 + (l_linenumber % 5) * 0.1 AS DECIMAL(10,2)) AS STRING), '.', ',')", f"{SPAN_X} + 5.0", f"{SPAN_Y} + 28.0", "7.0"),
-    ("mass", "(CASE WHEN l_suppkey % 3 = 0 THEN replace(CAST(CAST(1.0 + (l_partkey % 40) * 0.1 AS DECIMAL(10,2)) AS STRING), '.', ',') ELSE CAST(100 + (l_partkey % 40) * 10 AS STRING) END)", f"{SPAN_X} + 60.0", "(l_linenumber % 4) * 60.0", "6.0"),
-    ("code", "(CASE l_suppkey % 4 WHEN 0 THEN 'FE_' WHEN 1 THEN 'AW' WHEN 2 THEN 'T' ELSE 'STUK ' END) || CAST(l_partkey % 9 AS STRING)", f"{SPAN_X} + 30.0", f"{SPAN_Y} - 10.0", "5.0"),
+    ("mass", "(CASE WHEN l_suppkey % 3 = 0 THEN replace(CAST(CAST(0.6 + (l_partkey % 25) * 0.1 AS DECIMAL(10,2)) AS STRING), '.', ',') ELSE CAST(60 + (l_partkey % 40) * 10 AS STRING) END)", SPOT_X, SPOT_Y, "6.0"),
+    ("code", "(CASE l_suppkey % 5 WHEN 0 THEN 'FPH 0,' || CAST(l_partkey % 10 AS STRING) || '0' WHEN 1 THEN 'STUK 2,' || CAST(l_partkey % 10 AS STRING) || '0' WHEN 2 THEN 'AW' || CAST(l_partkey % 9 AS STRING) WHEN 3 THEN 'TOP ' || CAST(l_partkey % 9 AS STRING) ELSE (CASE WHEN l_partkey % 2 = 0 THEN '+' ELSE '-' END) || CAST(l_partkey % 9 AS STRING) || ',' || CAST(10 + l_linenumber * 11 AS STRING) END)", f"{SPOT_X} + 9.0", f"{SPOT_Y} + 7.0", "5.0"),
 ]
 _SPAN_COLS = ["span_id", "plan_id", "seite", "art", "text", "x0", "y0", "size", "ord"]
 
@@ -230,7 +234,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
                 for c, e in zip(_SPAN_COLS, _span_exprs(*spec))
             )
             structs.append(f"named_struct({parts})")
-        return base(spark, sf_dir, "lineitem").selectExpr(f"inline(array({', '.join(structs)}))")
+        used = base(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+        return spread(used).selectExpr(f"inline(array({', '.join(structs)}))")
     src, cols = ADAPTERS[name]
     return base(spark, sf_dir, src).selectExpr(*[f"{_typed(e, c)} AS {c}" for c, e in cols])
 
