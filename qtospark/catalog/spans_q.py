@@ -329,7 +329,7 @@ def arc_circles(t: Tables):
  SELECT plan_id, c.code, n, seite, CASE WHEN seite IS NULL THEN NULL ELSE round(n*100.0/sum(n) OVER (PARTITION BY plan_id, seite), 6) END AS pct FROM c LEFT JOIN l USING (code)""", "spans")
 def wall_code_counts(t: Tables):
     c = cls(t).filter("klasse = 'wand'").groupBy("plan_id", F.col("text").alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    i = F.substring("code", 3, 1).cast("int")
+    i = F.substring("code", 3, 1).try_cast("int")
     side = F.when(i < 5, F.lit("aussen")).when(i < 7, F.lit("innen"))
     c = c.withColumn("seite", side)
     tot = c.filter("seite is not null").groupBy("plan_id", "seite").agg(F.sum("n").alias("_t"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import category_exact
 from ..operators.ordering import order_stats, running_sum
 from ..operators.spatial import box_join, distance, nearest
+from ..session import cut
 
 PAGE = ["plan_id", "seite"]
 # --- fixed values -----------------------------------------------------------------
@@ -113,6 +114,8 @@ def assign_flats(rooms: DataFrame, labels: DataFrame) -> DataFrame:
 
 def assemble_openings(cls: DataFrame, r: float = 35.0) -> DataFrame:
     """Parapet span + nearest lintel + best-scoring width + wall tag + door code = opening."""
+    # the few relevant spans are read six times: classify once
+    cls = cut(cls.filter(F.col("klasse").isin("parapet", "sturz", "mass", "wand", "tuercode")).select("span_id", *PAGE, "cx", "cy", "text", "klasse", "wert"))
     pick = lambda k: cls.filter(F.col("klasse") == k)
     base = pick("parapet").select("span_id", *PAGE, "cx", "cy", F.col("wert").alias("fph_m"))
     lint = pick("sturz").withColumnRenamed("span_id", "sturz_id")
@@ -225,8 +228,8 @@ def dominant_scale(scales: DataFrame, label: DataFrame | None = None) -> DataFra
     import math
 
     s = scales.filter("steigung > 0").withColumn("_l", F.log("steigung"))
-    w = Window.partitionBy("plan_id").orderBy("_l").rangeBetween(-math.log(1.05), math.log(1.05))
-    s = s.withColumn("_k", F.count(F.lit(1)).over(w))
+    r = f"{math.log(1.05)!r}D"
+    s = s.withColumn("_k", F.expr(f"count(1) OVER (PARTITION BY plan_id ORDER BY _l RANGE BETWEEN {r} PRECEDING AND {r} FOLLOWING)"))
     top = s.groupBy("plan_id").agg(F.max_by(F.struct(F.col("_l").alias("l"), F.col("_k").alias("k")), F.struct("_k", -F.col("_l"))).alias("t"))
     m = s.join(top, "plan_id").filter(F.abs(F.col("_l") - F.col("t.l")) <= math.log(1.05))
     return order_stats(m, ["plan_id"], "steigung", {"ptcm": "lower", "n": "n"})
