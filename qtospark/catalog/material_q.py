@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans import materials as M
 from ..session import spread
+from ..sources.adapters import L_ID
 from ..plans.trades import best_building, fill_building
 from . import Tables, query
 from .trades_q import BD, KAT, OUTER
@@ -171,19 +172,19 @@ ROOF_TEXT = """'Dach' || chr(10) || 'Dachfläche Nord: 5,50 x ' || CAST(l_linenu
 
 
 def _roof(t: Tables):
-    return spread(t.lineitem).selectExpr("CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS page", "l_linenumber AS ord", f"{ROOF_TEXT} AS text")
+    return spread(t.lineitem).selectExpr(f"{L_ID} AS page", "l_linenumber AS ord", f"{ROOF_TEXT} AS text")
 
 
-@query("roof_totals", "C23 U4", """
-WITH x AS (SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS page, 5.5*(l_linenumber+3) AS n, CAST(l_quantity AS BIGINT)::DOUBLE AS s, l_partkey % 2 = 0 AS g FROM lineitem)
+@query("roof_totals", "C23 U4", f"""
+WITH x AS (SELECT {L_ID} AS page, 5.5*(l_linenumber+3) AS n, CAST(l_quantity AS BIGINT)::DOUBLE AS s, l_partkey % 2 = 0 AS g FROM lineitem)
  SELECT page, CAST(round(n+s, 2) AS DOUBLE) AS gesamt_m2, CASE WHEN g THEN true END AS bestaetigt FROM x""")
 def roof_totals(t: Tables):
     areas, _, _ = M.roof_readings(_roof(t), "page")
     return M.roof_totals(areas, "page")
 
 
-@query("roof_materials", "C24", """
-WITH x AS (SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS page, 5.5*(l_linenumber+3) + CAST(l_quantity AS BIGINT)::DOUBLE AS a, l_linenumber FROM lineitem)
+@query("roof_materials", "C24", f"""
+WITH x AS (SELECT {L_ID} AS page, 5.5*(l_linenumber+3) + CAST(l_quantity AS BIGINT)::DOUBLE AS a, l_linenumber FROM lineitem)
  SELECT material, round(sum(menge), 3) AS menge, count(*) AS n FROM (SELECT 'Dacheindeckung' AS material, a*1.05 AS menge FROM x UNION ALL SELECT 'Dachlatten', a*3.3 FROM x UNION ALL SELECT 'Konterlatten', a*2.6 FROM x UNION ALL SELECT 'Unterspannbahn', a*1.15 FROM x
   UNION ALL SELECT 'Mineralwolle ' || (18+l_linenumber) || '.0cm', a*(18+l_linenumber)/100.0 FROM x) GROUP BY 1""")
 def roof_materials(t: Tables):

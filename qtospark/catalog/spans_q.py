@@ -10,6 +10,7 @@ from ..functions.numbers import chain_value_cm
 from ..operators.matching import greedy_nearest
 from ..operators.ordering import order_stats
 from ..plans import spans as S
+from ..sources import adapters
 from . import Tables, query
 from .trades_q import KAT
 
@@ -152,7 +153,7 @@ DIM = ", dim AS (SELECT span_id, plan_id, seite, x0 AS x, y0 AS y, CAST(text AS
 
 def dims(t: Tables):
     cm = chain_value_cm(F.col("text"))
-    s = t.spans.filter("art = 'mass'").filter(F.col("text").rlike(r"^\d{1,4}$"))
+    s = adapters.spans(t.spark, t.sf_dir, ["mass"]).filter(F.col("text").rlike(r"^\d{1,4}$"))
     return s.select("span_id", "plan_id", "seite", F.col("x0").alias("x"), F.col("y0").alias("y"), cm.alias("cm")).filter("cm is not null")
 
 

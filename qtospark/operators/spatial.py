@@ -1,8 +1,8 @@
 """Spatial joins as equi-joins on grid cells.
 
-A bare distance predicate would plan as a nested-loop join, so the right side is put
-into cells of the search radius and repeated into the nine neighbouring cells; the join
-is then an equi-join on ``keys + cell`` and the exact distance is a residual filter.
+A bare distance predicate would plan as a nested-loop join, so the left side is put into
+grid cells and the right side into every cell its search box touches; the join is then an
+equi-join on ``keys + cell`` and the exact distance is a residual filter.
 """
 
 from __future__ import annotations
@@ -26,17 +26,25 @@ def with_cells(df: DataFrame, x: str, y: str, sx: float, sy: float | None = None
     return out
 
 
+def _reach(c: Column, r: Column | float, size: Column | float) -> Column:
+    """Cells of ``size`` touched by ``c ± r``; at most two when ``size >= 2r``."""
+    pad = r * 1.000001 + 1e-9
+    return F.array_distinct(F.array(F.floor((c - pad) / size), F.floor((c + pad) / size)))
+
+
 def box_join(left: DataFrame, right: DataFrame, keys: list[str], dx: float, dy: float | None = None,
              x: str = "cx", y: str = "cy", how: str = "inner", prefix: str = "r_",
              condition=None) -> DataFrame:
     """Pairs with ``|Δx| <= dx`` and ``|Δy| <= dy``; right columns get ``prefix``.
 
-    ``condition`` (a function of nothing, built on the prefixed names) narrows the pair.
-    With ``left_semi``/``left_anti`` no pair leaves the join.
+    Cells are three boxes wide, so a right row is repeated into fewer than three cells on
+    average instead of nine.  ``condition`` (built on the prefixed names) narrows the
+    pair.  With ``left_semi``/``left_anti`` no pair leaves the join.
     """
-    dy = dx if dy is None else dy
-    lhs = with_cells(left, x, y, dx, dy)
-    rhs = with_cells(right, x, y, dx, dy, spread=True)
+    dx = float(dx)
+    dy = dx if dy is None else float(dy)
+    lhs = left.withColumn("_gx", _cell(F.col(x), 3 * dx)).withColumn("_gy", _cell(F.col(y), 3 * dy))
+    rhs = right.withColumn("_gx", F.explode(_reach(F.col(x), dx, 3 * dx))).withColumn("_gy", F.explode(_reach(F.col(y), dy, 3 * dy)))
     rhs = rhs.select([F.col(c).alias(prefix + c) for c in rhs.columns])
     cond = (F.col("_gx") == F.col(prefix + "_gx")) & (F.col("_gy") == F.col(prefix + "_gy"))
     for k in keys:
@@ -90,16 +98,14 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, ri
     todo = todo.withColumn("_lv", F.coalesce(level, F.lit(1 if radius else 9)))
 
     size = F.coalesce(*[F.when(F.col("_lv") == lv, F.lit(float(ring))) for lv, _, ring in levels])
-    lhs = todo.withColumn("_s", size)
+    # cells are three rings wide: a point is offered in fewer than three cells on average
+    lhs = todo.withColumn("_s", size * 3.0)
     lhs = lhs.withColumn("_gx", F.floor(F.col(x) / F.col("_s"))).withColumn("_gy", F.floor(F.col(y) / F.col("_s")))
-    rings = F.array(*[F.struct(F.lit(lv).alias("_lv"), F.lit(float(ring)).alias("_s")) for lv, _, ring in levels])
+    rings = F.array(*[F.struct(F.lit(lv).alias("_lv"), F.lit(float(ring)).alias("_r")) for lv, _, ring in levels])
     rhs = points.select("*", F.inline(rings))
-    rhs = rhs.withColumn("_gx", F.floor(F.col(x) / F.col("_s"))).withColumn("_gy", F.floor(F.col(y) / F.col("_s")))
-    around = F.array(*[F.struct(F.lit(i).cast("bigint").alias("_dx"), F.lit(j).cast("bigint").alias("_dy"))
-                       for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    rhs = rhs.select("*", F.inline(around))
-    rhs = rhs.select(*keys, "_lv", (F.col("_gx") + F.col("_dx")).alias("_gx"), (F.col("_gy") + F.col("_dy")).alias("_gy"),
-                     F.col(x).alias("r_" + x), F.col(y).alias("r_" + y), "_rid")
+    r, sz = F.col("_r"), F.col("_r") * 3.0
+    rhs = rhs.withColumn("_gx", F.explode(_reach(F.col(x), r, sz))).withColumn("_gy", F.explode(_reach(F.col(y), r, sz)))
+    rhs = rhs.select(*keys, "_lv", "_gx", "_gy", F.col(x).alias("r_" + x), F.col(y).alias("r_" + y), "_rid")
     pairs = lhs.join(rhs, [*keys, "_lv", "_gx", "_gy"]).select(
         left_id, *extra, distance(x, y).alias("_d"), "_rid")
     if radius is None:

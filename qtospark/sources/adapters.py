@@ -40,7 +40,8 @@ def pick(expr: str, values: list) -> str:
 
 L_ID = (
     "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || "
-    "CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING)"
+    "CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) || '-' || "
+    "CAST(CAST(round(l_extendedprice * 100.0) AS BIGINT) AS STRING)"
 )
 PROJECT = "(l_orderkey - l_orderkey % 8)"
 FIRM = "((l_orderkey - l_orderkey % 8) % 97)"
@@ -224,20 +225,29 @@ def base(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Domain table ``name`` as a DataFrame (one scan, projection only)."""
-    if name == "spans":
-        structs = []
-        for spec in SPAN_KINDS:
+def spans(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None) -> DataFrame:
+    """Text spans; ``kinds`` builds only those kinds of span."""
+    structs = []
+    for spec in SPAN_KINDS:
+        if kinds is None or spec[0] in kinds:
             parts = ", ".join(
                 f"'{c}', {('CAST(' + e + ' AS DOUBLE)') if c in ('x0', 'y0', 'size') else e}"
                 for c, e in zip(_SPAN_COLS, _span_exprs(*spec))
             )
             structs.append(f"named_struct({parts})")
-        used = base(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-        return spread(used).selectExpr(f"inline(array({', '.join(structs)}))")
+    used = base(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return spread(used).selectExpr(f"inline(array({', '.join(structs)}))")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Domain table ``name`` as a DataFrame (one scan, projection only)."""
+    if name == "spans":
+        return spans(spark, sf_dir)
     src, cols = ADAPTERS[name]
-    return base(spark, sf_dir, src).selectExpr(*[f"{_typed(e, c)} AS {c}" for c, e in cols])
+    raw = base(spark, sf_dir, src)
+    text = " ".join(e for _, e in cols)
+    used = [c for c in raw.columns if c in text]
+    return spread(raw.select(*used)).selectExpr(*[f"{_typed(e, c)} AS {c}" for c, e in cols])
 
 
 def _typed(expr: str, col: str) -> str:
