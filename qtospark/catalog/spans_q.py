@@ -372,3 +372,49 @@ def existing_building_flags(t: Tables):
     c = t.segments.groupBy("plan_id").agg((F.sum(F.when(F.col("grau") >= 0.6, ln).otherwise(0.0)) / F.sum(ln)).alias("anteil"))
     w = t.spans.groupBy("plan_id", "seite").agg(F.count_if(F.col("text").isin("Keller", "Garage")).alias("n")).groupBy("plan_id").agg(F.max("n").alias("worte"))
     return c.join(w, "plan_id").select("plan_id", F.round("anteil", 6).alias("anteil"), "worte", ((F.col("worte") >= 2) | (F.col("anteil") >= 0.5)).alias("bestand"))
+
+
+@query("indoor_first_assignment", "J5", """
+, o AS (SELECT opening_id, projekt_id, cx, cy FROM openings WHERE cx IS NOT NULL), r AS (SELECT room_id, projekt_id, cx, cy, lower(split_part(trim(name), ' ', 1)) IN ('terrasse','loggia','balkon','parkplatz','carport') AS aussen FROM rooms)
+, j AS (SELECT opening_id, room_id, aussen, sqrt((o.cx-r.cx)*(o.cx-r.cx)+(o.cy-r.cy)*(o.cy-r.cy)) AS d FROM o JOIN r USING (projekt_id))
+ SELECT opening_id, room_id, round(d, 6) AS dist FROM j WHERE d < 200 QUALIFY row_number() OVER (PARTITION BY opening_id ORDER BY aussen, d, room_id) = 1""", "openings rooms")
+def indoor_first_assignment(t: Tables):
+    r = t.rooms.select("room_id", "projekt_id", "name", "cx", "cy")
+    return S.assign_indoor_first(t.openings.select("opening_id", "projekt_id", "cx", "cy"), r, ["projekt_id"]).withColumn("dist", F.round("dist", 6))
+
+
+@query("marks_to_levels", "J34", CLS + """
+ SELECT m.span_id, arg_min(k.wert, (abs(k.cy-m.cy), k.wert)) AS niveau FROM cv m JOIN cv k USING (plan_id, seite) WHERE m.klasse='wohnung' AND k.klasse='kote' AND abs(k.cy-m.cy) <= 120 GROUP BY 1""", "spans")
+def marks_to_levels(t: Tables):
+    c = cls(t)
+    return S.marks_to_levels(c.filter("klasse = 'wohnung'"), c.filter("klasse = 'kote'"))
+
+
+@query("hatch_density", "J36", PAIRS + """
+, pt AS (SELECT projekt_id AS plan_id, cx*0.3 AS cx, cy*0.3 AS cy FROM openings WHERE cx IS NOT NULL)
+ SELECT w.plan_id, achse, pos, pos2, lo, hi, count(*) AS n, round(count(*)/(hi-lo), 6) AS dichte FROM wp w JOIN pt p ON p.plan_id = w.plan_id AND (CASE WHEN achse='h' THEN cx ELSE cy END) BETWEEN lo AND hi AND (CASE WHEN achse='h' THEN cy ELSE cx END) BETWEEN pos AND pos2 GROUP BY 1,2,3,4,5,6""", "segments openings")
+def hatch_density(t: Tables):
+    p = S.wall_pairs(S.wall_faces(t.segments), 4.0, 16.0)
+    return S.band_density(p, _wall_openings(t)).withColumn("dichte", F.round("dichte", 6))
+
+
+@query("side_confirmation", "J24", DIM + """
+, r AS (SELECT room_id, projekt_id AS plan_id, cx, cy, (umfang_m/2 + sqrt((umfang_m/2)*(umfang_m/2) - 4.0*flaeche_m2))/2 AS a, (umfang_m/2 - sqrt((umfang_m/2)*(umfang_m/2) - 4.0*flaeche_m2))/2 AS b FROM rooms WHERE flaeche_m2 > 0 AND umfang_m > 0 AND (umfang_m/2)*(umfang_m/2) - 4.0*flaeche_m2 >= 0)
+, g AS (SELECT room_id, bool_or(abs(a*100-cm) <= 5) AS x, bool_or(abs(b*100-cm) <= 5) AS y FROM r JOIN dim d ON d.plan_id = r.plan_id AND abs(d.x-r.cx) <= 150 AND abs(d.y-r.cy) <= 150 GROUP BY 1)
+ SELECT room_id, CASE WHEN x AND y THEN 'hoch' WHEN x OR y THEN 'mittel' ELSE 'niedrig' END AS stufe FROM r LEFT JOIN g USING (room_id)""", "spans rooms")
+def side_confirmation(t: Tables):
+    from ..functions.geometry import rectangle_from_area
+
+    r = t.rooms.select("room_id", F.col("projekt_id").alias("plan_id"), "cx", "cy", rectangle_from_area(F.col("flaeche_m2"), F.col("umfang_m")).alias("q")).filter("q is not null")
+    return S.confirm_sides(r.select("room_id", "plan_id", "cx", "cy", "q.a", "q.b"), dims(t))
+
+
+@query("wall_dimension_snap", "J40", FACES + DIM.replace(", dim AS", ", dim AS") + """
+, w AS (SELECT plan_id || ':' || achse || ':' || pos || ':' || lo AS wand_id, plan_id, CASE WHEN achse='h' THEN (lo+hi)/2 ELSE pos END AS cx, CASE WHEN achse='h' THEN pos ELSE (lo+hi)/2 END AS cy, (hi-lo)*3.0 AS m FROM fc)
+, b AS (SELECT wand_id, arg_min(cm, (abs(cm-m), cm)) AS d FROM w JOIN dim d ON d.plan_id = w.plan_id AND abs(d.x-w.cx) <= 60 AND abs(d.y-w.cy) <= 60 AND abs(cm-m) <= greatest(8.0, 0.04*m) GROUP BY 1)
+ SELECT wand_id, coalesce(d, m) AS cm, d IS NOT NULL AS gedruckt FROM w LEFT JOIN b USING (wand_id)""", "spans segments")
+def wall_dimension_snap(t: Tables):
+    hor = F.col("achse") == "h"
+    mid = (F.col("lo") + F.col("hi")) / 2
+    w = _walls(t).select("wand_id", "plan_id", F.when(hor, mid).otherwise(F.col("pos")).alias("cx"), F.when(hor, F.col("pos")).otherwise(mid).alias("cy"), ((F.col("hi") - F.col("lo")) * 3.0).alias("cm_gemessen"))
+    return S.snap_to_dimension(w, dims(t))

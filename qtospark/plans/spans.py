@@ -352,3 +352,57 @@ def elevation_spread(spans: DataFrame, page_width: float) -> DataFrame:
     k = k.withColumn("_new", F.when(F.col("cx") - F.lag("cx").over(w) > 12, 1).otherwise(0))
     return k.groupBy(*PAGE).agg(
         ((F.max("cx") - F.min("cx") >= 0.25 * page_width) & (F.sum("_new") + 1 >= 4)).alias("verteilt"), (F.sum("_new") + 1).alias("spalten"))
+
+
+def assign_indoor_first(openings: DataFrame, rooms: DataFrame, keys: list[str], radius: float = 200.0) -> DataFrame:
+    """Nearest indoor room within ``radius``; only without one the nearest room of any kind."""
+    outdoor = F.lower(F.substring_index(F.trim("name"), " ", 1)).isin("terrasse", "loggia", "balkon", "parkplatz", "carport")
+    a = nearest(openings, rooms.filter(~outdoor), keys, "opening_id", "room_id", radius, strict=True)
+    rest = openings.join(a.select("opening_id"), "opening_id", "left_anti")
+    return a.unionByName(nearest(rest, rooms.filter(outdoor), keys, "opening_id", "room_id", radius, strict=True))
+
+
+def marks_to_levels(marks: DataFrame, levels_: DataFrame, cap: float = 120.0) -> DataFrame:
+    """Nearest level by vertical distance for every storey mark of a page."""
+    lv = levels_.groupBy(*PAGE, "cy").agg(F.min("wert").alias("wert"))
+    j = box_join(marks.select("span_id", *PAGE, "cy"), lv, PAGE, cap, x="cy", y="cy")
+    return j.groupBy("span_id").agg(F.min_by("r_wert", F.struct(F.abs(F.col("r_cy") - F.col("cy")), F.col("r_wert"))).alias("niveau"))
+
+
+def band_density(pairs: DataFrame, points: DataFrame, cell: float = 25.0) -> DataFrame:
+    """Points between the two faces of each wall pair, per length.
+
+    Pairs are offered in the cells they cover; counting happens before the shuffle.
+    """
+    hor = F.col("achse") == "h"
+    x0, x1 = F.when(hor, F.col("lo")).otherwise(F.col("pos")), F.when(hor, F.col("hi")).otherwise(F.col("pos2"))
+    y0, y1 = F.when(hor, F.col("pos")).otherwise(F.col("lo")), F.when(hor, F.col("pos2")).otherwise(F.col("hi"))
+    w = pairs.withColumn("_x0", x0).withColumn("_x1", x1).withColumn("_y0", y0).withColumn("_y1", y1)
+    g = w.withColumn("_gx", F.explode(F.sequence(F.floor(F.col("_x0") / cell), F.floor(F.col("_x1") / cell))))
+    g = g.withColumn("_gy", F.explode(F.sequence(F.floor(F.col("_y0") / cell), F.floor(F.col("_y1") / cell))))
+    pt = points.groupBy("plan_id", "cx", "cy").agg(F.count(F.lit(1)).alias("_n"))
+    pt = pt.withColumn("_gx", F.floor(F.col("cx") / cell)).withColumn("_gy", F.floor(F.col("cy") / cell))
+    hit = g.join(pt, ["plan_id", "_gx", "_gy"]).filter(F.col("cx").between(F.col("_x0"), F.col("_x1")) & F.col("cy").between(F.col("_y0"), F.col("_y1")))
+    key = ["plan_id", "achse", "pos", "pos2", "lo", "hi"]
+    return hit.groupBy(*key).agg(F.sum("_n").alias("n")).withColumn("dichte", F.col("n") / (F.col("hi") - F.col("lo")))
+
+
+def confirm_sides(rooms: DataFrame, dims: DataFrame, reach: float = 150.0, tol_cm: float = 5.0) -> DataFrame:
+    """Room sides found among printed dimensions near the room: both high, one medium, none low."""
+    d = dims.select("plan_id", F.col("x").alias("cx"), F.col("y").alias("cy"), "cm").distinct()
+    j = box_join(rooms, d, ["plan_id"], reach)
+    g = j.groupBy("room_id").agg(
+        F.bool_or(F.abs(F.col("a") * 100 - F.col("r_cm")) <= tol_cm).alias("a_ok"), F.bool_or(F.abs(F.col("b") * 100 - F.col("r_cm")) <= tol_cm).alias("b_ok"))
+    n = F.coalesce(F.col("a_ok").cast("int"), F.lit(0)) + F.coalesce(F.col("b_ok").cast("int"), F.lit(0))
+    return rooms.select("room_id").join(g, "room_id", "left").select(
+        "room_id", F.when(n == 2, F.lit("hoch")).when(n == 1, F.lit("mittel")).otherwise(F.lit("niedrig")).alias("stufe"))
+
+
+def snap_to_dimension(walls: DataFrame, dims: DataFrame, reach: float = 60.0) -> DataFrame:
+    """Printed dimension that fits a wall's length (8 cm or 4 %) near its middle, else the measured length."""
+    d = dims.select("plan_id", F.col("x").alias("cx"), F.col("y").alias("cy"), "cm").distinct()
+    j = box_join(walls, d, ["plan_id"], reach)
+    off = F.abs(F.col("r_cm") - F.col("cm_gemessen"))
+    fit = j.filter(off <= F.greatest(F.lit(8.0), 0.04 * F.col("cm_gemessen")))
+    best = fit.groupBy("wand_id").agg(F.min_by("r_cm", F.struct(off, F.col("r_cm"))).alias("_d"))
+    return walls.join(best, "wand_id", "left").select("wand_id", F.coalesce("_d", "cm_gemessen").alias("cm"), F.col("_d").isNotNull().alias("gedruckt"))
