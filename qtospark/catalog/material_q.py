@@ -46,7 +46,7 @@ def material_base(t: Tables):
 
 
 @query("material_masonry", "C15 C18 F24", BASE + """
- SELECT projekt_id, bauteil, material, round(menge, 6) AS menge FROM (
+ SELECT projekt_id, bauteil, material, round(menge, 9) AS menge FROM (
   SELECT projekt_id, 'Frostschürze' AS bauteil, 'Beton C25/30, XC1, F52, GK 22' AS material, tr*0.8*0.3 AS menge FROM base WHERE NOT stb UNION ALL SELECT projekt_id, 'Frostschürze', 'Noppenfolie 1m', tr FROM base WHERE NOT stb
   UNION ALL SELECT projekt_id, 'Bodenplatte', 'Beton C25/30, B2, GK 22, F52', bp*bp_cm/100 FROM base WHERE NOT stb UNION ALL SELECT projekt_id, 'Bodenplatte', 'PE-Folie', ceil(bp/50) FROM base WHERE NOT stb
   UNION ALL SELECT projekt_id, 'Mauerwerk EG', 'Mauermörtel', (aw+iw)/100*0.6 FROM base WHERE NOT stb UNION ALL SELECT projekt_id, 'Mauerwerk EG', 'EKV-5 (Außenwand)', aw*0.95 FROM base WHERE NOT stb
@@ -56,7 +56,7 @@ def material_masonry(t: Tables):
     names = ["Frostschürze|Beton C25/30, XC1, F52, GK 22", "Frostschürze|Noppenfolie 1m", "Bodenplatte|Beton C25/30, B2, GK 22, F52", "Bodenplatte|PE-Folie", "Mauerwerk EG|Mauermörtel",
              "Mauerwerk EG|EKV-5 (Außenwand)", "Decke über EG|Schaltafel 200/50", "Decke über EG|ISO-Korb 8/25", "Decke über EG|Randabschlusskorb 16cm"]
     l = M.masonry_lines(M.base_geometry(*_inputs(t)))
-    return l.filter(F.concat_ws("|", "bauteil", "material").isin(*names)).select("projekt_id", "bauteil", "material", F.round("menge", 6).alias("menge"))
+    return l.filter(F.concat_ws("|", "bauteil", "material").isin(*names)).select("projekt_id", "bauteil", "material", F.round("menge", 9).alias("menge"))
 
 
 @query("material_concrete", "C21", BASE + """
