@@ -40,7 +40,7 @@ def _words(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+"))
 
 
-def _repeat_words(w: str) -> str:
+def _repeat_words(words: str, w: str = "v") -> str:
     """Words covered by three-word windows that occur twice or more.
 
     Windows become pairs of digest and place in one sorted array; neighbours with an equal
@@ -60,7 +60,8 @@ def _repeat_words(w: str) -> str:
         "(a, p) -> named_struct('last', p, 'n', a.n + least(3, p - a.last)), a -> a.n)"
     )
     inner = f"aggregate(array({grams}), 0L, (z, s) -> aggregate(array({twice}), 0L, (y, r) -> {covered}))"
-    return f"CASE WHEN size({w}) < 4 THEN 0L ELSE {inner} END"
+    # a lambda variable holds the words, or each place would split the text again
+    return f"aggregate(array({words}), 0L, (x0, {w}) -> CASE WHEN size({w}) < 4 THEN 0L ELSE {inner} END)"
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

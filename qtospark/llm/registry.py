@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import embeddings, huffman, licences, mixing, packing, quality, similarity_join, token_counts, toxicity
 
 QUERIES = {
+    "op1_ngram_jaccard_join": similarity_join.op1_ngram_jaccard_join,
+    "op2_pack_documents": packing.op2_pack_documents,
+    "op4_licence_scan": licences.op4_licence_scan,
+    "op5_token_counts": token_counts.op5_token_counts,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_token_files": huffman.op7_token_files,
+    "op8_embedding_neardup": embeddings.op8_embedding_neardup,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
