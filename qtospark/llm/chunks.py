@@ -7,6 +7,7 @@ tokenizer only sees a batch's distinct ones.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ class ByteBpe:
     with the strings of special tokens are encoded whole.
     """
 
-    MOST = 700_000  # pre-tokens that a worker remembers; it starts anew beyond
+    MOST = 400_000  # pre-tokens that a worker remembers; it starts anew beyond
 
     def __init__(self, path: str):
         import regex
@@ -68,18 +69,19 @@ class ByteBpe:
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    def _chunk(self, chunk: str) -> list[int]:
-        out: list[int] = []
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk as 32-bit numbers."""
+        out = []
         seen = self.seen
         for p in self.pattern.findall(chunk):
             ids = seen.get(p)
             if ids is None:
-                ids = [t.id for t in self.tok.model.tokenize(p.encode().decode("latin1").translate(self.letters))]
+                found = self.tok.model.tokenize(p.encode().decode("latin1").translate(self.letters))
                 if len(seen) >= self.MOST:
                     seen.clear()
-                seen[p] = ids
-            out += ids
-        return out
+                ids = seen[p] = array("I", [t.id for t in found]).tobytes()
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(row numbers, ids, end of each row's ids)``, rows in the order of the numbers."""
@@ -92,9 +94,9 @@ class ByteBpe:
         plain = len(rows) - n_odd
         heads = [vocab[c] for c in codes[first]]
         lists += [self._chunk(h) for h in heads[:plain]]
-        lists += [e.ids for e in self.tok.encode_batch(heads[plain:], add_special_tokens=False)]
+        lists += [array("I", e.ids).tobytes() for e in self.tok.encode_batch(heads[plain:], add_special_tokens=False)]
         codes[first] = len(vocab) + np.arange(len(rows))
-        size = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        flat = np.fromiter((i for x in lists for i in x), dtype=np.uint32, count=int(size.sum()))
+        size = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)) // 4
+        flat = np.frombuffer(b"".join(lists), np.uint32)
         ids, end = gather(flat, size, codes)
         return rows, ids, end[offs[1:] - 1] if len(end) else np.zeros(0, np.int64)

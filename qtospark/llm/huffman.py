@@ -118,7 +118,7 @@ def decode_table(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, in
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe(path)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 12 << 20):
             rows, ids, ends = bpe.encode(b.column("text"))
             ends = ends + np.arange(1, len(ends) + 1)
             full = np.full(int(ends[-1]) if len(ends) else 0, end_id, np.dtype("<u4"))

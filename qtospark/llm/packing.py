@@ -20,7 +20,7 @@ _PIECES = "doc_id long, piece int, start long, length long, ids binary"
 def _cutter(path: str, capacity: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe(path)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 12 << 20):
             rows, ids, ends = bpe.encode(b.column("text"))
             ends = ends + np.arange(1, len(ends) + 1)
             all_ids = np.full(int(ends[-1]) if len(ends) else 0, end_id, np.dtype("<u4"))

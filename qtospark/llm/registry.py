@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import embeddings, huffman, licences, mixing, packing, quality, similarity_join, token_counts, toxicity
+from . import embeddings, huffman, licences, mixing, packing, quality, similarity_join, substrings, token_counts, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": similarity_join.op1_ngram_jaccard_join,
     "op2_pack_documents": packing.op2_pack_documents,
+    "op3_suffix_dedup": substrings.op3_suffix_dedup,
     "op4_licence_scan": licences.op4_licence_scan,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_toxicity": toxicity.op6_toxicity,
