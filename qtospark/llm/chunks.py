@@ -54,14 +54,14 @@ class ByteBpe:
     with the strings of special tokens are encoded whole.
     """
 
-    MOST = 400_000  # pre-tokens that a worker remembers; it starts anew beyond
+    MOST = 300_000  # chunks, and pre-tokens, that a worker remembers; frequent ones come early
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.seen = kept_between_tasks(path)
+        self.seen, self.chunks = kept_between_tasks(path), kept_between_tasks(path + " chunks")
         self.pattern = regex.compile(PRETOKEN)
         special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.odd = "|".join([r"[\s\p{Z}\x0b\x1c-\x1f\x{85}] ([\s\p{Z}\x0b\x1c-\x1f\x{85}]|$)", *special])
@@ -77,9 +77,9 @@ class ByteBpe:
             ids = seen.get(p)
             if ids is None:
                 found = self.tok.model.tokenize(p.encode().decode("latin1").translate(self.letters))
-                if len(seen) >= self.MOST:
-                    seen.clear()
-                ids = seen[p] = array("I", [t.id for t in found]).tobytes()
+                ids = array("I", [t.id for t in found]).tobytes()
+                if len(seen) < self.MOST:
+                    seen[p] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -90,7 +90,14 @@ class ByteBpe:
         rows, parts = split_at_blanks(texts, self.odd, lambda t: [t])
         vocab, codes, offs = coded(parts)
         first = offs[:-1]
-        lists = [self._chunk(" " + v) for v in vocab]
+        lists = []
+        for v in vocab:
+            known = self.chunks.get(v)
+            if known is None:
+                known = self._chunk(" " + v)
+                if len(self.chunks) < self.MOST:
+                    self.chunks[v] = known
+            lists.append(known)
         plain = len(rows) - n_odd
         heads = [vocab[c] for c in codes[first]]
         lists += [self._chunk(h) for h in heads[:plain]]

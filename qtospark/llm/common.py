@@ -34,20 +34,20 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.count = 0
 
     def put(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
-        path = f"{self.base}/{len(self.paths)}"
+        path = f"{self.base}/{self.count}"
+        self.count += 1
         df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        out._scratch = out  # keeps the id in use
+        out._written = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for t in tables:
-            p = jvm.org.apache.hadoop.fs.Path(self.paths[id(t)])
+            p = jvm.org.apache.hadoop.fs.Path(t._written)
             p.getFileSystem(conf).delete(p, True)
 
 

@@ -221,10 +221,11 @@ class JaccardJoin:
             lab = put(entries.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")))
             turn = F.struct(F.xxhash64("cid").alias("o"), F.col("cid").alias("p"), F.col("n").alias("np"), F.col("component").alias("pc"))
             live = lab.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-            part = F.pmod(F.xxhash64("cid", F.lit(k)), F.lit(1 << max(0, k - 1)))  # more members at once in later rounds
+            part = F.pmod(F.xxhash64("cid", F.lit(k)), F.lit(4 ** max(0, k - 1)))  # more members at once in later rounds
             live = lab.join(live, "list", "left_semi").groupBy("list", part.alias("part")).agg(F.min(turn).alias("t"))
             live = put(live.select("list", "t.*").drop("o"))
             if live.isEmpty():
+                self.store.drop(lab, live, sets)
                 return comp
             cand = lab.join(live, "list").filter((F.col("component") != F.col("pc")) & self._fits(F.col("n"), F.col("np")))
             cand = cand.groupBy("cid", "n", "p", "np").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("lists"))
@@ -245,7 +246,8 @@ class JaccardJoin:
             left = lab.drop("component").join(live, "list", "left_semi")
             if k >= 2:  # a member compared with all others of its list has no more to do there
                 left = left.join(live.select("list", F.col("p").alias("cid")), ["list", "cid"], "left_anti")
-            entries = put(left)
+            before, entries = entries, put(left)
+            self.store.drop(before, lab, live)
             k += 1
 
 
