@@ -20,7 +20,7 @@ RULES: list[tuple[str, str]] = [
     ("few_words", f"n_words < {MIN_WORDS}"),
     ("repeated_windows", f"100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words"),
     ("symbols", "10 * n_symbols > 3 * n_words"),
-    ("duplicate_lines", "n_lines > 0 AND 10 * n_dup_lines > 3 * n_lines"),
+    ("duplicate_lines", "n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines"),
     ("long_words", "word_chars > 15 * n_words"),
     ("short_words", "word_chars < 2 * n_words"),
 ]
@@ -133,7 +133,7 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(translate(t, ' ' || chr(9
         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
       FROM w LEFT JOIN cov USING (r)),
 b AS (SELECT *, ((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > 3 * n_words)::INT
-        + 8 * (n_lines > 0 AND 10 * n_dup_lines > 3 * n_lines)::INT + 16 * (word_chars > 15 * n_words)::INT
+        + 8 * (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines)::INT + 16 * (word_chars > 15 * n_words)::INT
         + 32 * (word_chars < 2 * n_words)::INT)::INT AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed,
        failures = 0 AS kept, failures FROM b
