@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans import materials as M
-from ..session import spread
 from ..sources.adapters import L_ID
 from ..plans.trades import best_building, fill_building
 from . import Tables, query
@@ -172,7 +171,7 @@ ROOF_TEXT = """'Dach' || chr(10) || 'Dachfläche Nord: 5,50 x ' || CAST(l_linenu
 
 
 def _roof(t: Tables):
-    return spread(t.lineitem).selectExpr(f"{L_ID} AS page", "l_linenumber AS ord", f"{ROOF_TEXT} AS text")
+    return t.lineitem.selectExpr(f"{L_ID} AS page", "l_linenumber AS ord", f"{ROOF_TEXT} AS text")
 
 
 @query("roof_totals", "C23 U4", f"""

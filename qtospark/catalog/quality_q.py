@@ -24,8 +24,8 @@ def height_findings(t: Tables):
 
 
 @query("area_balance", "Q1 Q5", RK + """
-, g AS (SELECT plan_id, avg(CASE WHEN kategorie='Innenraum_warm' AND flaeche_m2 > 0 THEN flaeche_m2 END) AS m, sum(CASE WHEN kategorie='Innenraum_warm' THEN coalesce(flaeche_m2,0) END) AS i, sum(CASE WHEN kategorie='Loggia' THEN coalesce(flaeche_m2,0) END) AS l FROM rk GROUP BY 1)
- SELECT plan_id, 'raum_summen' AS "check", 'warnung' AS schwere, NULL::VARCHAR AS objekt FROM g WHERE m > 35 UNION ALL SELECT plan_id, 'aussenkontur', 'info', NULL FROM g WHERE i > 0 AND l > i*1.5""", "rooms")
+, g AS (SELECT plan_id, count(CASE WHEN kategorie='Innenraum_warm' AND q > 0 THEN 1 END) AS n, sum(CASE WHEN kategorie='Innenraum_warm' THEN q END) AS i, sum(CASE WHEN kategorie='Loggia' THEN q END) AS l FROM (SELECT *, CAST(round_even(coalesce(flaeche_m2, 0) * 10000, 0) AS BIGINT) AS q FROM rk) GROUP BY 1)
+ SELECT plan_id, 'raum_summen' AS "check", 'warnung' AS schwere, NULL::VARCHAR AS objekt FROM g WHERE n > 0 AND i > n * 350000 UNION ALL SELECT plan_id, 'aussenkontur', 'info', NULL FROM g WHERE i > 0 AND 2 * l > 3 * i""", "rooms")
 def area_balance(t: Tables):
     return Q.area_balance(with_category(t.rooms), "plan_id")
 

@@ -104,14 +104,16 @@ def graduated_deductions(t: Tables):
 @query("event_json", "F27 F28 S8", """
  SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso FROM events""")
 def event_json(t: Tables):
-    raw = F.concat(F.lit("Antwort: ```json "), F.col("props"), F.lit(" ``` Ende"))
-    js = F.regexp_extract(raw, r"\{[\s\S]*\}", 0)
+    from ..sources.files import last_json_block
+
+    raw = F.concat(F.lit('Antwort: ```json {"k":-1} ``` Korrektur: ```json '), F.col("props"), F.lit(" ``` Ende {kein JSON}"))
+    js = last_json_block(raw)
     return t.events.select("event_id", F.from_json(js, "k BIGINT")["k"].alias("k"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
 
 
 @query("room_predicates", "P5 P10 P11 P12", """
 , x AS (SELECT span_id, lower(text) AS t FROM spans)
- SELECT span_id, regexp_matches(t, 'carport|terrasse|loggia|balkon') AS offen, NOT regexp_matches(t, '^[^a-zäöü]*$|^(aw|iw|fe_|t|stuk|f:|u:|rh)') AS raumname FROM x""", "spans")
+ SELECT span_id, regexp_matches(t, 'carport|terrasse|loggia|balkon') AS offen, length(trim(text)) >= 2 AND regexp_matches(trim(t), '^[a-zäöüß]') AND NOT regexp_matches(trim(t), '^(aw|iw|stuk|rh|bf|ok)([^a-zäöüß]|$)|^fe_|^[fu] ?[:=]|^(parkett|fliesen|laminat|teppich|estrich|beton|betonplatten|kies|wiese|rasen|pflaster|asphalt|holz|vlies|epoxy|keramik|stein|feinstein)([^a-zäöüß]|$)') AND rtrim(trim(t), '.:') NOT IN ('m', 'm2', 'm²', 'cm', 'mm', 'st', 'stk', 'lfm', 'pa', 'kg') AS raumname FROM (SELECT span_id, text, t FROM (SELECT span_id, text, lower(text) AS t FROM spans)) x""", "spans")
 def room_predicates(t: Tables):
     from ..functions.rules import is_room_text
     from ..plans.merge import is_open_roof

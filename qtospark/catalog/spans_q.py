@@ -22,7 +22,7 @@ CLS = f"""
    WHEN regexp_matches(t, '^R?H\\s*[:=]?\\s*\\d+[.,]?\\d*\\s*m?\\s*$') THEN 'hoehe' WHEN starts_with(t, 'FPH') THEN 'parapet' WHEN starts_with(t, 'STUK') THEN 'sturz' WHEN regexp_matches(t, '^AW\\d?$') THEN 'wand' WHEN starts_with(t, 'TOP') THEN 'wohnung'
    WHEN regexp_matches(t, '^[+-]\\d') THEN 'kote' WHEN regexp_matches(t, '^\\d{{1,4}}$') AND CAST(t AS DOUBLE) BETWEEN 5 AND 1500 OR regexp_matches(t, '^\\d,\\d\\d$') AND {G.format('t')} BETWEEN 0.3 AND 15 THEN 'mass'
    WHEN {KATT} IS NOT NULL AND t <> 'Terasse' THEN 'raum' ELSE 'sonst' END AS klasse FROM c0)
-, cv AS (SELECT *, CASE WHEN klasse IN ('flaeche','umfang','hoehe','parapet','sturz') THEN {G.format("regexp_extract(t, '(\\d+[.,]?\\d*)', 1)")} WHEN klasse = 'kote' THEN {G.format('t')}
+, cv AS MATERIALIZED (SELECT *, CASE WHEN klasse IN ('hoehe','parapet','sturz') AND regexp_matches(t, '^[A-Z]+ *[:=]? *\\d\\d+ *m?$') THEN CAST(regexp_extract(t, '(\\d+)', 1) AS DOUBLE) / 100 WHEN klasse IN ('flaeche','umfang','hoehe','parapet','sturz') THEN {G.format("regexp_extract(t, '(\\d+[.,]?\\d*)', 1)")} WHEN klasse = 'kote' THEN {G.format('t')}
    WHEN klasse = 'mass' THEN CASE WHEN contains(t, ',') THEN {G.format('t')} WHEN length(t) IN (2,3) THEN CAST(t AS DOUBLE)/100 END END AS wert FROM cls)
 """
 
@@ -37,11 +37,11 @@ def span_classes(t: Tables):
 
 
 @query("extractor_merge", "S5", """
-, a AS (SELECT * FROM spans WHERE art IN ('name','mass')), b AS (SELECT span_id || 'x' AS span_id, plan_id, seite, art, substr(text, 1, 3) AS text, x0 + (ord % 9) AS x0, y0, size, ord FROM spans WHERE art IN ('name','umfang'))
+, a AS (SELECT * FROM spans WHERE art IN ('name','mass')), b AS (SELECT span_id || 'x' AS span_id, plan_id, seite, art, regexp_replace(text, '\\s*[:=]\\s*', ' ', 'g') AS text, x0 + (ord % 9) AS x0, y0, size, ord FROM spans WHERE art IN ('name','umfang'))
  SELECT span_id, text FROM a UNION ALL SELECT span_id, text FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.plan_id = b.plan_id AND a.seite = b.seite AND contains(a.text, b.text) AND abs(a.x0 - b.x0) < 5)""", "spans")
 def extractor_merge(t: Tables):
     s = t.spans
-    b = s.filter("art in ('name','umfang')").withColumn("span_id", F.concat("span_id", F.lit("x"))).withColumn("text", F.substring("text", 1, 3)).withColumn("x0", F.col("x0") + F.col("ord") % 9)
+    b = s.filter("art in ('name','umfang')").withColumn("span_id", F.concat("span_id", F.lit("x"))).withColumn("text", F.regexp_replace("text", r"\s*[:=]\s*", " ")).withColumn("x0", F.col("x0") + F.col("ord") % 9)
     return S.merge_extractors(s.filter("art in ('name','mass')"), b).select("span_id", "text")
 
 
@@ -330,7 +330,7 @@ def arc_circles(t: Tables):
  SELECT plan_id, c.code, n, seite, CASE WHEN seite IS NULL THEN NULL ELSE round(n*100.0/sum(n) OVER (PARTITION BY plan_id, seite), 6) END AS pct FROM c LEFT JOIN l USING (code)""", "spans")
 def wall_code_counts(t: Tables):
     c = cls(t).filter("klasse = 'wand'").groupBy("plan_id", F.col("text").alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    i = F.substring("code", 3, 1).try_cast("int")
+    i = F.regexp_extract("code", r"(?i)^(?:AW|IW)\s*(\d+)$", 1).try_cast("int")
     side = F.when(i < 5, F.lit("aussen")).when(i < 7, F.lit("innen"))
     c = c.withColumn("seite", side)
     tot = c.filter("seite is not null").groupBy("plan_id", "seite").agg(F.sum("n").alias("_t"))
@@ -339,14 +339,14 @@ def wall_code_counts(t: Tables):
 
 @query("house_split", "W5 C28", """
 , d AS (SELECT DISTINCT projekt_id, cx FROM rooms), g AS (SELECT *, CASE WHEN cx - lag(cx) OVER (PARTITION BY projekt_id ORDER BY cx) > 100 THEN 1 ELSE 0 END AS b FROM d)
-, h AS (SELECT projekt_id, cx, chr(CAST(65 + sum(b) OVER (PARTITION BY projekt_id ORDER BY cx) AS INTEGER)) AS haus FROM g)
+, h AS (SELECT projekt_id, cx, CAST(1 + sum(b) OVER (PARTITION BY projekt_id ORDER BY cx) AS BIGINT) AS haus FROM g)
  SELECT projekt_id, haus, count(*) AS n, round(sum(flaeche_m2), 4) AS flaeche FROM rooms JOIN h USING (projekt_id, cx) GROUP BY 1, 2""", "rooms")
 def house_split(t: Tables):
     from pyspark.sql import Window
 
     w = Window.partitionBy("projekt_id").orderBy("cx")
     d = t.rooms.select("projekt_id", "cx").distinct()
-    d = d.withColumn("_b", F.when(F.col("cx") - F.lag("cx").over(w) > 100, 1).otherwise(0)).withColumn("haus", F.char(F.lit(65) + F.sum("_b").over(w)))
+    d = d.withColumn("_b", F.when(F.col("cx") - F.lag("cx").over(w) > 100, 1).otherwise(0)).withColumn("haus", F.lit(1) + F.sum("_b").over(w))
     return t.rooms.join(d.drop("_b"), ["projekt_id", "cx"]).groupBy("projekt_id", "haus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("flaeche_m2"), 4).alias("flaeche"))
 
 

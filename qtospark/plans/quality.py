@@ -54,16 +54,19 @@ def height_findings(rooms: DataFrame) -> DataFrame:
 
 
 def area_balance(rooms: DataFrame, key: str = "projekt_id") -> DataFrame:
-    """Mean indoor area above 35 m², or covered outside larger than 1.5 × inside."""
-    f = F.coalesce("flaeche_m2", F.lit(0.0))
+    """Mean indoor area above 35 m², or covered outside larger than 1.5 × inside.
+
+    Areas are summed in whole cm², so that no order of summing decides at a limit.
+    """
+    f = F.rint(F.coalesce("flaeche_m2", F.lit(0.0)) * 10000).cast("long")
     inside, loggia = F.col("kategorie") == "Innenraum_warm", F.col("kategorie") == "Loggia"
     g = rooms.groupBy(key).agg(
-        F.avg(F.when(inside & (f > 0), f)).alias("mittel"), F.sum(F.when(inside, f)).alias("innen"),
+        F.count(F.when(inside & (f > 0), f)).alias("n"), F.sum(F.when(inside, f)).alias("innen"),
         F.sum(F.when(loggia, f)).alias("loggia"))
     none = F.lit(None).cast("string")
     return _emit(g, [key], [
-        finding("raum_summen", "warnung", F.col("mittel") > 35.0, none),
-        finding("aussenkontur", "info", (F.col("innen") > 0) & (F.col("loggia") > F.col("innen") * 1.5), none)])
+        finding("raum_summen", "warnung", (F.col("n") > 0) & (F.col("innen") > F.col("n") * 350000), none),
+        finding("aussenkontur", "info", (F.col("innen") > 0) & (2 * F.col("loggia") > 3 * F.col("innen")), none)])
 
 
 def rooms_without_window(rooms: DataFrame, windows: DataFrame) -> DataFrame:

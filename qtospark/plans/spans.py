@@ -55,12 +55,15 @@ def classify(spans: DataFrame) -> DataFrame:
         return F.struct(F.lit(kind).alias("klasse"), value.alias("wert"))
 
     first = num(F.regexp_extract(t, r"(\d+[.,]?\d*)", 1))
+    digits = F.regexp_extract(t, r"(\d+(?:[.,]\d+)?)", 1)
+    whole = ~digits.rlike("[.,]") & (first > 5)  # decimals are metres, whole numbers above 5 centimetres
+    metres = F.when(whole, first / 100.0).otherwise(first)
     width = F.when(t.rlike(r"^\d[,.]\d{1,2}$|^\d{2,3}$"), F.when(F.contains(t, F.lit(",")) | F.contains(t, F.lit(".")), num(t)).otherwise(num(t) / 100.0))
     v = num(t)
     dim = (t.rlike(r"^\d{1,4}(,\d)?$") & v.between(5, 1500)) | (t.rlike(r"^\d{1,2}[.,]\d{1,2}$") & v.between(0.30, 15.0))
     c = (
-        F.when(t.rlike(AREA_RX), s("flaeche", first)).when(t.rlike(PERIMETER_RX), s("umfang", first)).when(t.rlike(HEIGHT_RX), s("hoehe", first))
-        .when(t.rlike(PARAPET_RX), s("parapet", first)).when(t.rlike(LINTEL_RX), s("sturz", first)).when(t.rlike(WALL_RX), s("wand"))
+        F.when(t.rlike(AREA_RX), s("flaeche", first)).when(t.rlike(PERIMETER_RX), s("umfang", first)).when(t.rlike(HEIGHT_RX), s("hoehe", metres))
+        .when(t.rlike(PARAPET_RX), s("parapet", metres)).when(t.rlike(LINTEL_RX), s("sturz", metres)).when(t.rlike(WALL_RX), s("wand"))
         .when(t.rlike(FLAT_RX), s("wohnung")).when(t.rlike(LEVEL_RX), s("kote", num(t))).when(t.rlike(DOOR_CODE_RX), s("tuercode"))
         .when(t.rlike(WINDOW_CODE_RX), s("fenstercode")).when(dim, s("mass", width)).when(category_exact(F.col("text")).isNotNull(), s("raum"))
         .otherwise(s("sonst")))

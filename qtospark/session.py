@@ -51,10 +51,3 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/qtospark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, small_bytes: int = 256 << 20) -> DataFrame:
-    """Small inputs often sit in one row group, that is one task; expression-heavy work on
-    them is dealt out to all cores first.  Large inputs already have enough splits."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < small_bytes else df

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import spread
+
 
 # --- fixed values -----------------------------------------------------------------
 ROOM_NAMES = [
@@ -209,7 +209,7 @@ SPAN_KINDS: list[tuple[str, str, str, str, str]] = [
     ("umfang", "'U: ' || replace(CAST(CAST(l_quantity * 0.3 + 6.0 AS DECIMAL(10,2)) AS STRING), '.', ',') || ' m'", f"{SPAN_X} + 4.0", f"{SPAN_Y} + 20.0", "7.0"),
     ("hoehe", "'RH=' || replace(CAST(CAST(2.4 + (l_linenumber % 5) * 0.1 AS DECIMAL(10,2)) AS STRING), '.', ',')", f"{SPAN_X} + 5.0", f"{SPAN_Y} + 28.0", "7.0"),
     ("mass", "(CASE WHEN l_suppkey % 3 = 0 THEN replace(CAST(CAST(0.6 + (l_partkey % 25) * 0.1 AS DECIMAL(10,2)) AS STRING), '.', ',') ELSE CAST(60 + (l_partkey % 40) * 10 AS STRING) END)", SPOT_X, SPOT_Y, "6.0"),
-    ("code", "(CASE l_suppkey % 5 WHEN 0 THEN 'FPH 0,' || CAST(l_partkey % 10 AS STRING) || '0' WHEN 1 THEN 'STUK 2,' || CAST(l_partkey % 10 AS STRING) || '0' WHEN 2 THEN 'AW' || CAST(l_partkey % 9 AS STRING) WHEN 3 THEN 'TOP ' || CAST(l_partkey % 9 AS STRING) ELSE (CASE WHEN l_partkey % 2 = 0 THEN '+' ELSE '-' END) || CAST(l_partkey % 9 AS STRING) || ',' || CAST(10 + l_linenumber * 11 AS STRING) END)", f"{SPOT_X} + 9.0", f"{SPOT_Y} + 7.0", "5.0"),
+    ("code", "(CASE l_suppkey % 5 WHEN 0 THEN (CASE WHEN l_partkey % 3 = 0 THEN 'FPH ' || CAST(10 + l_partkey % 90 AS STRING) ELSE 'FPH 0,' || CAST(l_partkey % 10 AS STRING) || '0' END) WHEN 1 THEN (CASE WHEN l_partkey % 3 = 0 THEN 'STUK 2' || CAST(10 + l_partkey % 90 AS STRING) ELSE 'STUK 2,' || CAST(l_partkey % 10 AS STRING) || '0' END) WHEN 2 THEN 'AW' || CAST(l_partkey % 9 AS STRING) WHEN 3 THEN 'TOP ' || CAST(l_partkey % 9 AS STRING) ELSE (CASE WHEN l_partkey % 2 = 0 THEN '+' ELSE '-' END) || CAST(l_partkey % 9 AS STRING) || ',' || CAST(10 + l_linenumber * 11 AS STRING) END)", f"{SPOT_X} + 9.0", f"{SPOT_Y} + 7.0", "5.0"),
 ]
 _SPAN_COLS = ["span_id", "plan_id", "seite", "art", "text", "x0", "y0", "size", "ord"]
 
@@ -236,7 +236,7 @@ def spans(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None) -> D
             )
             structs.append(f"named_struct({parts})")
     used = base(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return spread(used).selectExpr(f"inline(array({', '.join(structs)}))")
+    return used.selectExpr(f"inline(array({', '.join(structs)}))")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -247,7 +247,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     raw = base(spark, sf_dir, src)
     text = " ".join(e for _, e in cols)
     used = [c for c in raw.columns if c in text]
-    return spread(raw.select(*used)).selectExpr(*[f"{_typed(e, c)} AS {c}" for c, e in cols])
+    return raw.select(*used).selectExpr(*[f"{_typed(e, c)} AS {c}" for c, e in cols])
 
 
 def _typed(expr: str, col: str) -> str:
