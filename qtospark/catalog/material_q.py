@@ -154,7 +154,7 @@ def quantity_corrections(t: Tables):
     return M.apply_corrections(l, want, "list_id").select("list_id", "status")
 
 
-@query("inventory_coverage", "J30 U5", """
+@query("inventory_coverage", "J30", """
 , inv AS (SELECT plan_id, projekt_id, CASE plan_id % 5 WHEN 0 THEN 'Stütze STB' WHEN 1 THEN 'Kamin' WHEN 2 THEN 'Treppe' WHEN 3 THEN 'Aufzug' ELSE 'Pflanze' END AS t, konfidenz FROM plans WHERE konfidenz >= 0.55 AND plan_id % 11 <> 0)
 , y AS (SELECT *, CASE plan_id % 5 WHEN 0 THEN 'saeule' WHEN 1 THEN 'kamin' WHEN 2 THEN 'treppe' WHEN 3 THEN 'schacht' END AS typ FROM inv WHERE plan_id % 5 <> 4)
 , c AS (SELECT DISTINCT projekt_id, CASE WHEN name = 'Stiegenhaus' THEN 'treppe' ELSE 'balkon' END AS typ FROM rooms WHERE name IN ('Stiegenhaus','Loggia'))

@@ -17,7 +17,7 @@ def german_numbers(t: Tables):
     return t.spans.select("span_id", N.german_number(F.col("text")).alias("zahl"))
 
 
-@query("unit_inference", "F4 F5", """
+@query("unit_inference", "F4", """
 , x AS (SELECT line_id, ist_menge * 17.0 AS v FROM quantities)
  SELECT line_id, CASE WHEN v < 4 THEN v WHEN v < 350 THEN v/100 ELSE v/1000 END AS laenge, CASE WHEN v < 30 THEN v WHEN v < 300 THEN v/100 ELSE v/1000 END AS fenster, CASE WHEN v > 10 THEN v/1000 ELSE v END AS mm FROM x""", "quantities")
 def unit_inference(t: Tables):
@@ -40,7 +40,7 @@ def name_tokens(t: Tables):
     return t.rooms.select("room_id", X.name_key(n).alias("nk"), X.alnum_key(n).alias("alnum"), X.trailing_int(n).alias("nummer"), X.name_stem(n).alias("stamm"), X.head_noun(n).alias("kopf"))
 
 
-@query("room_keys", "F6 F7 F22", """
+@query("room_keys", "F7 F22", """
  SELECT room_id, name || '|' || wohnung || '|' || geschoss || '|' || coalesce(format('{:.2f}', flaeche_m2), '') AS rkey,
   CASE umfang_quelle WHEN 'geschaetzt' THEN 'U≈' || umfang_m || ' (geschätzt)' WHEN 'geometrie' THEN 'U≈' || umfang_m || ' (aus Umriss)' ELSE 'U=' || umfang_m END AS u_text FROM rooms""", "rooms")
 def room_keys(t: Tables):
@@ -111,7 +111,7 @@ def event_json(t: Tables):
     return t.events.select("event_id", F.from_json(js, "k BIGINT")["k"].alias("k"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
 
 
-@query("room_predicates", "P5 P10 P11 P12", """
+@query("room_predicates", "P5 P10 P12", """
 , x AS (SELECT span_id, lower(text) AS t FROM spans)
  SELECT span_id, regexp_matches(t, 'carport|terrasse|loggia|balkon') AS offen, length(trim(text)) >= 2 AND regexp_matches(trim(t), '^[a-zäöüß]') AND NOT regexp_matches(trim(t), '^(aw|iw|stuk|rh|bf|ok)([^a-zäöüß]|$)|^fe_|^[fu] ?[:=]|^(parkett|fliesen|laminat|teppich|estrich|beton|betonplatten|kies|wiese|rasen|pflaster|asphalt|holz|vlies|epoxy|keramik|stein|feinstein)([^a-zäöüß]|$)') AND rtrim(trim(t), '.:') NOT IN ('m', 'm2', 'm²', 'cm', 'mm', 'st', 'stk', 'lfm', 'pa', 'kg') AS raumname FROM (SELECT span_id, text, t FROM (SELECT span_id, text, lower(text) AS t FROM spans)) x""", "spans")
 def room_predicates(t: Tables):

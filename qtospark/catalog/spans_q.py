@@ -56,7 +56,7 @@ def room_labels(t: Tables):
 LAB = CLS + ", lab AS (SELECT * FROM cv WHERE klasse = 'raum')"
 
 
-@query("label_values", "J7 J39", LAB + """
+@query("label_values", "J7", LAB + """
 , j AS (SELECT l.span_id, v.klasse, v.wert, v.cy-l.cy AS dy, v.cx-l.cx AS dx FROM lab l JOIN cv v USING (plan_id, seite) WHERE v.klasse IN ('flaeche','umfang','hoehe') AND abs(v.cx-l.cx) <= 60 AND v.cy-l.cy BETWEEN -5 AND 60)
  SELECT span_id, arg_min(wert, (dy, dx, wert)) FILTER (WHERE klasse='flaeche') AS flaeche, arg_min(wert, (dy, dx, wert)) FILTER (WHERE klasse='umfang') AS umfang, arg_min(wert, (dy, dx, wert)) FILTER (WHERE klasse='hoehe') AS hoehe FROM j GROUP BY 1""", "spans")
 def label_values(t: Tables):
@@ -114,13 +114,13 @@ def opening_assembly(t: Tables):
     return S.assemble_openings(cls(t)).select("span_id", "typ", "breite_m", "hoehe_m", "fph_m", "stuk_m", "wand_typ")
 
 
-@query("lintel_only_doors", "J12 J13", CLS + """SELECT span_id, wert FROM cv s WHERE klasse='sturz' AND wert BETWEEN 1.7 AND 3.2 AND NOT EXISTS (SELECT 1 FROM cv p WHERE p.klasse='parapet' AND p.plan_id = s.plan_id AND p.seite = s.seite
+@query("lintel_only_doors", "J12", CLS + """SELECT span_id, wert FROM cv s WHERE klasse='sturz' AND wert BETWEEN 1.7 AND 3.2 AND NOT EXISTS (SELECT 1 FROM cv p WHERE p.klasse='parapet' AND p.plan_id = s.plan_id AND p.seite = s.seite
   AND sqrt((s.cx-p.cx)*(s.cx-p.cx)+(s.cy-p.cy)*(s.cy-p.cy)) < 52.5)""", "spans")
 def lintel_only_doors(t: Tables):
     return S.lintel_only(cls(t)).select("span_id", "wert")
 
 
-@query("object_counts", "A40 A16")
+@query("object_counts", "A40")
 def object_counts(t: Tables):
     return S.count_objects(S.ingest(t.spans), "terrasse|loggia", 120.0)
 
@@ -135,7 +135,7 @@ def text_evidence(t: Tables):
     return S.text_evidence(t.rooms.withColumn("plan_key", F.col("projekt_id")), t.spans)
 
 
-@query("verified_near_label", "J22 J23", LAB + """
+@query("verified_near_label", "J23", LAB + """
 , v AS (SELECT * FROM cv WHERE klasse = 'flaeche')
 , x AS (SELECT l.span_id, l.plan_id, l.seite, l.cx, l.cy, 5.0 + l.ord % 30 AS f FROM lab l)
  SELECT span_id FROM x WHERE EXISTS (SELECT 1 FROM v WHERE v.plan_id = x.plan_id AND v.seite = x.seite AND abs(v.cx-x.cx) <= 300 AND abs(v.cy-x.cy) <= 300 AND abs(v.wert-f) <= 0.02*f)""", "spans")
@@ -324,7 +324,7 @@ def arc_circles(t: Tables):
     return S.circle_fit(pts, "vec_id").select("vec_id", F.round("mx", 7).alias("mx"), F.round("my", 7).alias("my"), F.round("radius", 7).alias("radius"))
 
 
-@query("wall_code_counts", "A41 A38 A39", CLS + """
+@query("wall_code_counts", "A41 A38", CLS + """
 , c AS (SELECT plan_id, text AS code, count(*) AS n FROM cv WHERE klasse='wand' GROUP BY 1, 2)
 , l AS (SELECT 'AW' || i AS code, 12.0 + i*6 AS dicke, CASE WHEN i < 5 THEN 'aussen' ELSE 'innen' END AS seite FROM range(0, 7) r(i))
  SELECT plan_id, c.code, n, seite, CASE WHEN seite IS NULL THEN NULL ELSE round(n*100.0/sum(n) OVER (PARTITION BY plan_id, seite), 6) END AS pct FROM c LEFT JOIN l USING (code)""", "spans")
