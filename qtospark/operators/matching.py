@@ -2,33 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..session import cut
 from .spatial import nearest
 
 
+def _spots(df: DataFrame, keys: list[str], node: str, x: str, y: str) -> DataFrame:
+    return df.groupBy(*keys, x, y).agg(F.min(node).alias(node), F.count(F.lit(1)).alias("_n"))
+
+
 def greedy_nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str,
                    radius: float, x: str = "cx", y: str = "cy") -> DataFrame:
     """Greedy assignment in ascending distance: ``(left_id, right_id, dist)``.
 
-    Every round takes the pairs that are nearest to each other from both sides - exactly
-    those the sequential walk would take next - removes them and repeats.  Only the
-    nearest partner of each row exists at any time.
+    Rows of one spot are one candidate.  Every round takes the pairs of spots that are nearest
+    to each other from both sides, and of these as many rows as both spots have, in id order:
+    just what the sequential walk would take next.  Where a spot has several nearest ones, rows
+    of these take turns, so only one pair is taken.  A crowd on one spot costs one round.
     """
-    a = cut(left.select(left_id, *keys, x, y))
-    b = cut(right.select(right_id, *keys, x, y))
+    a = cut(left.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(left_id, *keys, x, y))
+    b = cut(right.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(right_id, *keys, x, y))
     parts = []
     while True:
-        ab = nearest(a, b, keys, left_id, right_id, radius, x, y)
-        ba = nearest(b, a, keys, right_id, left_id, radius, x, y)
-        pick = cut(ab.join(ba.select(left_id, right_id), [left_id, right_id]))
-        parts.append(pick)
-        if pick.isEmpty():
+        sa, sb = _spots(a, keys, left_id, x, y), _spots(b, keys, right_id, x, y)
+        ab = nearest(sa, sb, keys, left_id, right_id, radius, x, y, ties=True)
+        ba = nearest(sb, sa, keys, right_id, left_id, radius, x, y, ties=True).select(left_id, right_id, F.col("tied").alias("_t"))
+        pair = ab.join(ba, [left_id, right_id]).join(sa.select(left_id, F.col("_n").alias("_a")), left_id)
+        pair = pair.join(sb.select(right_id, F.col("_n").alias("_b")), right_id)
+        take = F.when(F.col("tied") | F.col("_t"), 1).otherwise(F.least("_a", "_b"))
+        pair = cut(pair.select(F.col(left_id).alias("_sl"), F.col(right_id).alias("_sr"), "dist", take.alias("_take")))
+        if pair.isEmpty():
             break
+        lhs, rhs = _ranked(a, keys, left_id, x, y, "_sl"), _ranked(b, keys, right_id, x, y, "_sr")
+        lhs = lhs.join(pair, "_sl").filter("_rank <= _take")
+        pick = cut(lhs.join(rhs, ["_sr", "_rank"]).select(left_id, right_id, "dist"))
+        parts.append(pick)
         a = cut(a.join(pick.select(left_id), left_id, "left_anti"))
         b = cut(b.join(pick.select(right_id), right_id, "left_anti"))
+    if not parts:
+        return pair.select(F.col("_sl").alias(left_id), F.col("_sr").alias(right_id), "dist")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def _ranked(df: DataFrame, keys: list[str], node: str, x: str, y: str, head: str) -> DataFrame:
+    """Number of a row on its spot, by id, and the spot's first id.
+
+    Rows are dealt by range, so a spot with a large share of all rows spans many tasks;
+    its numbers are joined by the counts before.
+    """
+    spot = [*keys, x, y]
+    d = cut(df.repartitionByRange(*spot, node).withColumn("_k", F.spark_partition_id()))
+    counts = d.groupBy(*spot, "_k").agg(F.count(F.lit(1)).alias("_c"), F.min(node).alias("_m"))
+    w = Window.partitionBy(*spot)
+    offs = counts.select(*spot, "_k", (F.sum("_c").over(w.orderBy("_k")) - F.col("_c")).alias("_o"), F.min("_m").over(w).alias(head))
+    local = F.row_number().over(Window.partitionBy(*spot, "_k").orderBy(node))
+    return d.withColumn("_l", local).join(offs, [*spot, "_k"]).select(node, head, (F.col("_l") + F.col("_o")).alias("_rank"))

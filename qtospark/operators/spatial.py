@@ -63,8 +63,9 @@ def distance(x: str, y: str, prefix: str = "r_") -> Column:
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str,
             radius: float | None = None, x: str = "cx", y: str = "cy", strict: bool = False,
-            fine: float | None = None, cap: str | None = None) -> DataFrame:
-    """Nearest right row per left row: ``(left_id, right_id, dist)``, ties to the smaller id.
+            fine: float | None = None, cap: str | None = None, ties: bool = False) -> DataFrame:
+    """Nearest right row per left row: ``(left_id, right_id, dist)``, ties to the smaller id;
+    ``ties`` adds ``tied``: another spot is as near.
 
     * Right rows on one spot are first reduced to their smallest id, so a crowded spot is
       one candidate.
@@ -118,8 +119,10 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, ri
         pairs = pairs.filter(F.col("_d") < radius if strict else F.col("_d") <= radius)
     if cap:
         pairs = pairs.filter(F.col(cap).isNull() | (F.col("_d") < F.col(cap)))
-    best = pairs.groupBy(left_id).agg(F.min(F.struct("_d", "_rid")).alias("_b"))
-    return best.select(left_id, F.col("_b._rid").alias(right_id), F.col("_b._d").alias("dist"))
+    last = F.max(F.struct(-F.col("_d"), F.col("_rid")))["_rid"]  # of the nearest, the one with the largest id
+    best = pairs.groupBy(left_id).agg(F.min(F.struct("_d", "_rid")).alias("_b"), last.alias("_last"))
+    out = best.select(left_id, F.col("_b._rid").alias(right_id), F.col("_b._d").alias("dist"), (F.col("_b._rid") != F.col("_last")).alias("tied"))
+    return out if ties else out.drop("tied")
 
 
 def proximity_edges(df: DataFrame, keys: list[str], node: str, tol: float, x: str = "cx", y: str = "cy",

@@ -99,6 +99,21 @@ def test_greedy_assignment(spark):
     assert {x.a: x.b for x in mutual_best(cand, "a", "b", F.col("d")).collect()} == want
 
 
+def test_greedy_assignment_of_a_crowd(spark):
+    rng = random.Random(8)
+    spots = [(float(rng.randint(0, 300)), float(rng.randint(0, 300))) for _ in range(11)]
+    at = lambda i: spots[0] if i % 3 == 0 else spots[1 + i % 10]
+    left = [(f"l{i:03d}", 1, *at(i)) for i in range(120)]
+    right = [(f"r{i:03d}", 1, at(i)[0] + 3.0, at(i)[1] + 1.0) for i in range(90)]
+    l, r = spark.createDataFrame(left, "lid string, k int, cx double, cy double"), spark.createDataFrame(right, "rid string, k int, cx double, cy double")
+    want, used = {}, set()
+    for d, a, b in sorted((math.hypot(a[2] - b[2], a[3] - b[3]), a[0], b[0]) for a in left for b in right):
+        if d <= 400 and a not in want and b not in used:
+            want[a] = b
+            used.add(b)
+    assert {x.lid: x.rid for x in greedy_nearest(l, r, ["k"], "lid", "rid", 400.0).collect()} == want
+
+
 def test_components_of_chain_and_star(spark):
     edges = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(60)] + [("s000", f"s{i:03d}") for i in range(1, 200)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src string, dst string")).collect()}
