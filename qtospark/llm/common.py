@@ -67,6 +67,33 @@ def running_total(store: Scratch, df: DataFrame, order: list[str], value: str, o
     )
 
 
+def components(store: Scratch, links: DataFrame, x: str, y: str) -> DataFrame:
+    """``(node, component)`` of every linked node; the component is its least node.
+
+    Every round each node, and the node it is labelled with, takes the least label around it and
+    then that label's own label, so the rounds grow with the logarithm of the longest chain.  A round is one
+    written table.
+    """
+    e = links.select(F.col(x).alias("node"), F.col(y).alias("mate"))
+    e = store.put(e.unionByName(e.select(F.col("mate").alias("node"), F.col("node").alias("mate"))).filter("node <> mate").distinct())
+    lab = store.put(e.groupBy("node").agg(F.least("node", F.min("mate")).alias("component")))
+    while True:
+        around = e.join(lab.select(F.col("node").alias("mate"), F.col("component").alias("_c")), "mate").groupBy("node").agg(F.min("_c").alias("_c"))
+        # what a node sees also holds for the node it is labelled with
+        hook = around.join(lab, "node").select(F.col("component").alias("node"), "_c")
+        around = around.unionByName(hook).groupBy("node").agg(F.min("_c").alias("_c"))
+        step = lab.join(around, "node").select("node", F.col("component").alias("_old"), F.least("component", "_c").alias("_c"))
+        up = lab.select(F.col("node").alias("_c"), F.col("component").alias("_up"))
+        new = step.join(up, "_c").select("node", F.least("_c", "_up").alias("component"), (F.least("_c", "_up") < F.col("_old")).alias("_moved"))
+        new = store.put(new)
+        done = new.filter("_moved").isEmpty()
+        store.drop(lab)
+        lab = new
+        if done:
+            store.drop(e)
+            return lab.select("node", "component")
+
+
 def kept_between_tasks(name: str) -> dict:
     """A dictionary of this Python worker that later tasks find again."""
     home = sys.modules.setdefault("_worker_memory", types.ModuleType("_worker_memory"))

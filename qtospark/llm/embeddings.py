@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components
-from .common import Scratch
+from .common import Scratch, components
 
 THRESHOLD = 0.98
 SHARD = 2048  # vectors of a shard, about
@@ -265,7 +264,7 @@ def near_duplicates(
     pairs = a.join(b, ["label", "dim"]).filter("a_shard <= b_shard")
     seen = store.put(pairs.groupBy("label", "dim", "a_shard", "b_shard").applyInArrow(
         _linker(threshold), "vec_id long, links long, root long"))
-    comps = connected_components(seen.filter("vec_id <> root"), "vec_id", "root")
+    comps = components(store, seen.filter("vec_id <> root"), "vec_id", "root")
     links = seen.groupBy("vec_id").agg(F.sum("links").alias("_links"))
     reps = classes.select(*key, F.col("vec_id").alias("_rep"))
     reps = reps.join(links.withColumnRenamed("vec_id", "_rep"), "_rep").join(comps.withColumnRenamed("node", "_rep"), "_rep", "left")

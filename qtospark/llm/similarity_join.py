@@ -12,8 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components
-from .common import Scratch, documents, slices, words
+from .common import Scratch, components, documents, slices, words
 
 REGION = 0.2  # share of the hash range whose shingles are a document's prefix
 COMMON = 24  # a shingle in the prefixes of more groups moves to the end of the order
@@ -126,8 +125,8 @@ class JaccardJoin:
        by each common shingle of their prefix in the final order.
 
     Group pairs, groups and lists are then settled among their member sets: every two members
-    must end in one component or be compared.  In each round one member of a list is compared with those
-    of other components, at first only with the most promising; a list whose members are in one component is
+    must end in one component or be compared.  In each round one member of a list, in later ones
+    more, is compared with those of other components, at first only with the most promising; a list whose members are in one component is
     done.  So a crowd of copies costs about one comparison each, and none is left out.
     """
 
@@ -229,7 +228,7 @@ class JaccardJoin:
                 return comp
             cand = lab.join(live, "list").filter((F.col("component") != F.col("pc")) & self._fits(F.col("n"), F.col("np")))
             cand = cand.groupBy("cid", "n", "p", "np").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("lists"))
-            if k < 2:  # each set with its best partner
+            if k < 1:  # each set with its best partner
                 best = F.max_by(F.struct("p", "np"), F.struct("score", "lists", "p"))
                 cand = cand.groupBy("cid", "n").agg(best.alias("b")).select("cid", "n", "b.p", "b.np")
             x, y = F.least("cid", "p"), F.greatest("cid", "p")
@@ -242,9 +241,10 @@ class JaccardJoin:
             c = F.col("common")
             seen = put(seen.select("x", "y", (c * self.den >= (F.col("nx") + F.col("ny") - c) * self.num).alias("ok")))
             tested = put(tested.unionByName(seen))
-            comp = put(connected_components(tested.filter("ok"), "x", "y"))
+            known = comp.select(F.col("node").alias("x"), F.col("component").alias("y"))
+            comp = components(self.store, known.unionByName(seen.filter("ok").select("x", "y")), "x", "y")
             left = lab.drop("component").join(live, "list", "left_semi")
-            if k >= 2:  # a member compared with all others of its list has no more to do there
+            if k >= 1:  # a member compared with all others of its list has no more to do there
                 left = left.join(live.select("list", F.col("p").alias("cid")), ["list", "cid"], "left_anti")
             before, entries = entries, put(left)
             self.store.drop(before, lab, live)
