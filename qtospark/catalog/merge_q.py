@@ -140,9 +140,10 @@ def foreign_units(t: Tables):
 , tx AS (SELECT DISTINCT projekt_id, sn FROM r WHERE quelle = 'text'), sg AS (SELECT projekt_id, count(*) >= 5 AS stark FROM tx GROUP BY 1)
 , nm AS (SELECT projekt_id, sn, st, nr, count(DISTINCT plan_id) AS q FROM r GROUP BY ALL)
 , tp AS (SELECT a.projekt_id, a.sn, max(b.nr) AS mx FROM nm a JOIN nm b ON a.projekt_id = b.projekt_id AND a.st = b.st AND b.q >= a.q+1 WHERE a.nr IS NOT NULL AND b.nr IS NOT NULL GROUP BY 1, 2)
-, sb AS (SELECT DISTINCT projekt_id, w AS sn, true AS teil FROM (SELECT projekt_id, sn, unnest(string_split(sn, ' ')) AS w FROM nm) WHERE w <> sn)
+, ko AS (SELECT projekt_id, sn, max((coalesce(flaeche_m2,0) <> 0)::INT + (coalesce(umfang_m,0) <> 0)::INT + (coalesce(hoehe_m,0) <> 0)::INT) AS w FROM r GROUP BY ALL)
+, sb AS (SELECT a.projekt_id, a.sn, max(b.w) AS teil FROM ko a JOIN ko b ON a.projekt_id = b.projekt_id AND a.sn <> b.sn AND contains(' ' || b.sn || ' ', ' ' || a.sn || ' ') GROUP BY ALL)
  SELECT room_id, CASE WHEN quelle <> 'text' AND coalesce(stark,false) AND tx.sn IS NULL THEN 'ohne Textbeleg' WHEN quelle <> 'text' AND coalesce(stark,false) AND bodenbelag IS NULL THEN 'ohne Bodenbelag'
-  WHEN nr IS NOT NULL AND NOT coalesce(flaeche_m2 > 0 AND umfang_m > 0 AND hoehe_m > 0, false) AND nr > mx THEN 'höhere Nummer' WHEN teil THEN 'Teilname' END AS grund
+  WHEN nr IS NOT NULL AND NOT coalesce(flaeche_m2 > 0 AND umfang_m > 0 AND hoehe_m > 0, false) AND nr > mx THEN 'höhere Nummer' WHEN teil >= (coalesce(flaeche_m2,0) <> 0)::INT + (coalesce(umfang_m,0) <> 0)::INT + (coalesce(hoehe_m,0) <> 0)::INT THEN 'Teilname' END AS grund
  FROM r LEFT JOIN tx USING (projekt_id, sn) LEFT JOIN sg USING (projekt_id) LEFT JOIN tp USING (projekt_id, sn) LEFT JOIN sb USING (projekt_id, sn)""", "rooms")
 def hallucination_filter(t: Tables):
     return G.hallucination_filter(t.rooms)
@@ -157,16 +158,13 @@ def perimeter_lookup(t: Tables):
 
 
 @query("area_overrides", "J18 F1", """
-, c AS (SELECT projekt_id, 'wc' AS k, CASE WHEN projekt_id % 2 = 0 THEN 'EG' END AS g, 2.5 AS f FROM (SELECT DISTINCT projekt_id FROM rooms) UNION ALL SELECT projekt_id, 'kueche', NULL, 12.25 FROM (SELECT DISTINCT projekt_id FROM rooms))
- SELECT room_id, CAST(coalesce(c.f, r.flaeche_m2) AS DOUBLE) AS flaeche_m2, c.f IS NOT NULL AS editiert FROM rooms r LEFT JOIN c ON c.projekt_id = r.projekt_id AND c.k = regexp_replace(replace(replace(lower(name),'ü','ue'),'ö','oe'), '[^a-z0-9]', '', 'g') AND (c.g IS NULL OR c.g = r.geschoss)""", "rooms")
+, c AS (SELECT projekt_id, 'wc' AS k, CASE WHEN projekt_id % 2 = 0 THEN 'EG' END AS g, 2.5 AS f FROM (SELECT DISTINCT projekt_id FROM rooms) UNION ALL SELECT projekt_id, 'wc', NULL, 1.75 FROM (SELECT DISTINCT projekt_id FROM rooms) UNION ALL SELECT projekt_id, 'kueche', NULL, 12.25 FROM (SELECT DISTINCT projekt_id FROM rooms))
+ SELECT room_id, CAST(coalesce(c.f, r.flaeche_m2) AS DOUBLE) AS flaeche_m2, c.f IS NOT NULL AS editiert FROM rooms r LEFT JOIN c ON c.projekt_id = r.projekt_id AND c.k = regexp_replace(replace(replace(lower(name),'ü','ue'),'ö','oe'), '[^a-z0-9]', '', 'g') AND (c.g IS NULL OR c.g = r.geschoss) QUALIFY row_number() OVER (PARTITION BY room_id ORDER BY c.g NULLS LAST) = 1""", "rooms")
 def area_overrides(t: Tables):
-    from ..functions.text import alnum_key
-
     p = t.rooms.select("projekt_id").distinct()
-    c = p.selectExpr("projekt_id", "inline(array(named_struct('k', 'wc', 'g', CASE WHEN projekt_id % 2 = 0 THEN 'EG' END, 'nf', CAST(2.5 AS DOUBLE)), named_struct('k', 'kueche', 'g', CAST(NULL AS STRING), 'nf', CAST(12.25 AS DOUBLE))))")
-    j = t.rooms.withColumn("k", alnum_key(F.col("name"))).join(c, ["projekt_id", "k"], "left")
-    ok = F.col("nf").isNotNull() & (F.col("g").isNull() | (F.col("g") == F.col("geschoss")))
-    return j.select("room_id", F.when(ok, F.col("nf")).otherwise(F.col("flaeche_m2")).alias("flaeche_m2"), ok.alias("editiert"))
+    c = p.selectExpr("projekt_id", "inline(array(named_struct('k', 'wc', 'g', CASE WHEN projekt_id % 2 = 0 THEN 'EG' END, 'nf', CAST(2.5 AS DOUBLE)), named_struct('k', 'wc', 'g', CAST(NULL AS STRING), 'nf', CAST(1.75 AS DOUBLE)), named_struct('k', 'kueche', 'g', CAST(NULL AS STRING), 'nf', CAST(12.25 AS DOUBLE))))")
+    return G.area_overrides(t.rooms, c)
+
 
 
 @query("rank_matched_readings", "J44", f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import name_key, zero_to_null
+from ..functions.text import alnum_key, name_key, zero_to_null
 from ..operators.ordering import running_number
 
 # --- fixed values -----------------------------------------------------------------
@@ -298,8 +298,12 @@ def foreign_units(rooms: DataFrame, scope: str = "projekt_id") -> DataFrame:
 ANNOTATION_WORDS = ["richtung", "rtg", "norden", "süden", "osten", "westen", "sued", "nord", "ost", "west", "ne", "nw", "se", "sw"]
 
 
-def hallucination_filter(rooms: DataFrame, storey: str = "EG") -> DataFrame:
-    """Reason why a vision room is dropped, or null (ordered rules, first one wins)."""
+def hallucination_filter(rooms: DataFrame) -> DataFrame:
+    """Reason why a vision room is dropped, or null (ordered rules, first one wins).
+
+    A name that is part of a longer one (whole words) goes only when a room of the longer name
+    has as many measured values or more.
+    """
     sn = F.lower(F.trim("name"))
     r = rooms.withColumn("sn", sn).withColumn("stamm", F.regexp_extract("sn", r"^([a-zäöüß]+)\s*(\d+)$", 1)).withColumn(
         "nr", F.nullif(F.regexp_extract("sn", r"^([a-zäöüß]+)\s*(\d+)$", 2), F.lit("")).try_cast("int"))
@@ -310,8 +314,11 @@ def hallucination_filter(rooms: DataFrame, storey: str = "EG") -> DataFrame:
     top = names.filter("nr is not null").alias("a").join(
         names.filter("nr is not null").select("projekt_id", "stamm", F.col("nr").alias("nr2"), F.col("q").alias("q2")), ["projekt_id", "stamm"]).filter("q2 >= q + 1")
     top = top.groupBy("projekt_id", "sn").agg(F.max("nr2").alias("_max"))
-    words = names.select("projekt_id", "sn", F.explode(F.split("sn", " ")).alias("w")).filter("w <> sn")
-    sub = words.select("projekt_id", F.col("w").alias("sn")).distinct().withColumn("_teil", F.lit(True))
+    measured = sum((F.coalesce(F.col(c), F.lit(0.0)) != 0).cast("int") for c in ("flaeche_m2", "umfang_m", "hoehe_m"))
+    r = r.withColumn("_werte", measured)
+    longer = r.groupBy("projekt_id", "sn").agg(F.max("_werte").alias("_teil")).withColumn("_w", F.split("sn", " ")).filter("size(_w) > 1")
+    runs = F.expr("flatten(transform(sequence(1, size(_w) - 1), n -> transform(sequence(1, size(_w) - n + 1), i -> array_join(slice(_w, i, n), ' '))))")
+    sub = longer.select("projekt_id", F.explode(runs).alias("sn"), "_teil").groupBy("projekt_id", "sn").agg(F.max("_teil").alias("_teil"))
     j = (
         r.join(txt.withColumn("_t", F.lit(True)), ["projekt_id", "sn"], "left").join(strong, "projekt_id", "left")
         .join(top, ["projekt_id", "sn"], "left").join(sub, ["projekt_id", "sn"], "left"))
@@ -320,9 +327,9 @@ def hallucination_filter(rooms: DataFrame, storey: str = "EG") -> DataFrame:
     reason = (
         F.when(vision & F.col("_t").isNull(), F.lit("ohne Textbeleg"))
         .when(vision & (F.coalesce("bodenbelag", F.lit("")) == ""), F.lit("ohne Bodenbelag"))
-        .when(F.col("sn").rlike(r"\bog\b|obergeschoss") & F.lit(storey.upper().startswith("EG")), F.lit("OG im EG-Plan"))
+        .when(F.col("sn").rlike(r"\bog\b|obergeschoss") & F.upper(F.coalesce("geschoss", F.lit(""))).startswith("EG"), F.lit("OG im EG-Plan"))
         .when(F.col("nr").isNotNull() & ~full & (F.col("nr") > F.col("_max")), F.lit("höhere Nummer"))
-        .when(F.col("_teil"), F.lit("Teilname"))
+        .when(F.col("_teil") >= F.col("_werte"), F.lit("Teilname"))
         .when(F.arrays_overlap(F.split("sn", " "), F.array(*[F.lit(x) for x in ANNOTATION_WORDS])), F.lit("Anmerkung")))
     return j.select("room_id", reason.alias("grund"))
 
@@ -350,3 +357,17 @@ def perimeter_lookup(rooms: DataFrame, measured: DataFrame) -> DataFrame:
 def remap_copy(df: DataFrame, mapping: DataFrame, key: str = "projekt_id") -> DataFrame:
     """Rows of mapped keys copied under their new key (``mapping(old, new)``)."""
     return df.join(mapping, df[key] == mapping["old"]).withColumn(key, F.col("new")).drop("old", "new")
+
+
+def area_overrides(rooms: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Corrected areas by name key: one for the room's storey beats one for all storeys.
+
+    ``overrides`` has ``projekt_id, k, g, nf``; ``g`` null holds for every storey.  Every room
+    stays one row, whatever the number of corrections of its name.
+    """
+    key = alnum_key(F.col("name"))
+    own = overrides.filter("g IS NOT NULL").groupBy("projekt_id", "k", F.col("g").alias("geschoss")).agg(F.max("nf").alias("_own"))
+    all_ = overrides.filter("g IS NULL").groupBy("projekt_id", "k").agg(F.max("nf").alias("_all"))
+    j = rooms.withColumn("k", key).join(own, ["projekt_id", "k", "geschoss"], "left").join(all_, ["projekt_id", "k"], "left")
+    new = F.coalesce("_own", "_all")
+    return j.select("room_id", F.coalesce(new, F.col("flaeche_m2")).alias("flaeche_m2"), new.isNotNull().alias("editiert"))
