@@ -239,7 +239,7 @@ def write_ids(
     spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "id long, bits int").coalesce(1).write.parquet(f"{path}/code")
     coded = store.put(raw.mapInArrow(_code(codes, lengths, STRIDE), "doc_id long, n long, bits binary, marks binary"))
     store.drop(raw)
-    ordered = coded.repartitionByRange("doc_id", "n", "bits").sortWithinPartitions("doc_id", "n", "bits")
+    ordered = coded.repartitionByRange("doc_id", "n").sortWithinPartitions("doc_id", "n", "bits")
     ordered.mapInArrow(_blocks(BLOCK_IDS), _FILE).write.option("compression", "none").parquet(f"{path}/blocks")
     store.drop(coded)
 
