@@ -77,12 +77,12 @@ def _rest(size: int, region: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             sets = shingle_sets(b.column("text"), size)
-            keys = [_number(len(s).to_bytes(8, "little"), s[:np.searchsorted(s, cut)].tobytes()) for s in sets]
+            keys = [_number(s.tobytes()) for s in sets]
             out = pa.RecordBatch.from_arrays([
-                b.column("gid"), pa.array([len(s) for s in sets], pa.int64()),
+                b.column("cid"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([s[np.searchsorted(s, cut):].view(np.int64) for s in sets], pa.list_(pa.int64())),
-            ], ["gid", "n", "prefix"])
-            yield out.filter(pc.equal(pa.array(keys, pa.int64()), b.column("gid")))
+            ], ["gid", "n", "prefix"])  # here each set is a group of its own
+            yield out.filter(pc.equal(pa.array(keys, pa.int64()), b.column("cid")))
 
     return run
 
@@ -120,11 +120,12 @@ class JaccardJoin:
 
     1. Shingles in at most COMMON groups give group pairs, with the number shared.  A pair
        stays if what is shared, plus what common shingles and the rest could add, reaches the need.
-    2. Groups whose prefix holds too few uncommon shingles are joined on the rest of their sets likewise.
-    3. Groups made almost wholly of common shingles (large groups of near copies) are listed
-       by each common shingle of their prefix in the final order.
+    2. Where the prefix of a group holds too few uncommon shingles, its member sets, which may
+       differ in all the rest, are joined one by one on that rest likewise.
+    3. Of these, sets made almost wholly of common shingles (large groups of near copies) are
+       listed by each common shingle of their prefix in the final order.
 
-    Group pairs, groups and lists are then settled among their member sets: every two members
+    Pairs, groups and lists are then settled among their member sets: every two members
     must end in one component or be compared.  In each round one member of a list, in later ones
     more, is compared with those of other components, at first only with the most promising; a list whose members are in one component is
     done.  So a crowd of copies costs about one comparison each, and none is left out.
@@ -168,39 +169,41 @@ class JaccardJoin:
         put, size = self.store.put, self.size
         t = put(self.docs.mapInArrow(_profile(size, REGION), "doc_id long, n long, cid long, gid long, prefix array<long>"))
         t_ids = t.filter("n > 0").select("doc_id", "n", "cid", "gid")
-        reps = t.filter("n > 0").groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("doc_id"))
+        reps = t.filter("n > 0").groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
         reps = put(reps)
         post, hot = self._postings(reps)
-        info = put(reps.select("gid", "n", "doc_id", F.size("prefix").alias("r")).join(hot, "gid", "left").fillna(0, ["hot"]))
+        info = put(reps.select("gid", "n", F.size("prefix").alias("r")).join(hot, "gid", "left").fillna(0, ["hot"]))
         side = lambda s: info.select(F.col("gid").alias(f"g{s}"), F.col("r").alias(f"r{s}"), F.col("hot").alias(f"h{s}"))
         na, nb = F.col("na"), F.col("nb")
         rest = F.least(na - F.col("ra"), nb - F.col("rb"))
         pairs = self._pairs(post).join(side("a"), "ga").join(side("b"), "gb")
         pairs = pairs.filter(F.col("shared") + F.least("ha", "hb") + rest >= self._need(na, nb))
-        pairs = put(pairs.select("ga", "gb", "na", "nb", "shared"))
+        pairs = pairs.select("ga", "gb", "na", "nb", "shared")
         least = F.col("n") - F.ceil(F.col("n") * self.num / self.den - 1e-9) + 1  # length of a prefix
-        short = put(info.filter(F.col("r") - F.col("hot") < least))
-        # the second part of the order, for groups with too few uncommon shingles in the first
-        more = put(self._texts(short.select("doc_id", "gid"), "gid").mapInArrow(_rest(size, REGION), "gid long, n long, prefix array<long>").dropDuplicates(["gid"]))
+        members = put(t_ids.groupBy("gid", "cid", "n").agg(F.min("doc_id").alias("doc_id")))
+        short = put(members.join(info.filter(F.col("r") - F.col("hot") < least).select("gid", "r", "hot"), "gid"))
+        # the second part of the order, for every set of the groups with too few uncommon shingles in the first
+        more = put(self._texts(short.select("doc_id", "cid"), "cid").mapInArrow(_rest(size, REGION), "gid long, n long, prefix array<long>").dropDuplicates(["gid"]))
         post2, hot2 = self._postings(more)
-        short = put(short.join(hot2.withColumnRenamed("hot", "hot2"), "gid", "left").fillna(0, ["hot2"]))
-        side2 = lambda s: short.select(F.col("gid").alias(f"g{s}"), F.col("r").alias(f"r{s}"), F.col("hot2").alias(f"h{s}"))
+        short = put(short.join(hot2.select(F.col("gid").alias("cid"), F.col("hot").alias("hot2")), "cid", "left").fillna(0, ["hot2"]))
+        side2 = lambda s: short.select(F.col("cid").alias(f"g{s}"), F.col("r").alias(f"r{s}"), F.col("hot2").alias(f"h{s}"))
         pairs2 = self._pairs(post2).join(side2("a"), "ga").join(side2("b"), "gb")
         pairs2 = pairs2.filter(F.least("ra", "rb") + F.col("shared") + F.least("ha", "hb") >= self._need(na, nb))
-        pairs = pairs.unionByName(pairs2.select("ga", "gb", "na", "nb", "shared"))
-        pairs = put(pairs.groupBy("ga", "gb", "na", "nb").agg(F.max("shared").alias("shared")))
-        # the last part: common shingles, for groups that have hardly any other
-        last = short.select("gid", "n", (least - (F.col("r") - F.col("hot")) - (F.col("n") - F.col("r") - F.col("hot2"))).alias("k")).filter("k > 0")
-        hot_post = post.unionByName(post2).filter(F.col("c") > COMMON).select("gid", "h")
+        # the last part: common shingles, for sets that have hardly any other
+        last = short.select("gid", "cid", "n", (least - (F.col("r") - F.col("hot")) - (F.col("n") - F.col("r") - F.col("hot2"))).alias("k")).filter("k > 0")
+        often = lambda p, key: p.filter(F.col("c") > COMMON).select(F.col("gid").alias(key), "h")
+        last = last.join(often(post, "gid"), "gid").select("cid", "n", "k", "h").unionByName(last.join(often(post2, "cid"), "cid").select("cid", "n", "k", "h"))
         order = F.array_sort(F.collect_list("h"))
-        lists = last.join(hot_post, "gid").groupBy("gid", "k").agg(order.alias("hs")).select(
-            "gid", F.explode(F.slice("hs", F.lit(1), F.col("k").cast("int"))).alias("h"))
-        members = put(t_ids.select("gid", "cid", "n").distinct())
+        lists = last.groupBy("cid", "n", "k").agg(order.alias("hs")).select(
+            "cid", "n", F.explode(F.slice("hs", F.lit(1), F.col("k").cast("int"))).alias("h"))
         crowd = members.groupBy("gid").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("gid")
-        two = pairs.select(F.xxhash64("ga", "gb").alias("list"), (F.col("shared") / F.col("na")).alias("score"), F.explode(F.array("ga", "gb")).alias("gid"))
+        score = (F.col("shared") / F.col("na")).alias("score")
+        two = pairs.select(F.xxhash64("ga", "gb").alias("list"), score, F.explode(F.array("ga", "gb")).alias("gid"))
         entries = two.unionByName(crowd.select(F.xxhash64(F.lit("g"), "gid").alias("list"), F.lit(2.0).alias("score"), "gid"))
-        entries = entries.unionByName(lists.select(F.xxhash64(F.lit("h"), "h").alias("list"), F.lit(1.0).alias("score"), "gid"))
-        entries = put(entries.join(members, "gid").select("list", "score", "cid", "n"))
+        entries = entries.join(members, "gid").select("list", "score", "cid", "n")
+        both = F.inline(F.array(F.struct(F.col("ga").alias("cid"), na.alias("n")), F.struct(F.col("gb").alias("cid"), nb.alias("n"))))
+        entries = entries.unionByName(pairs2.select(F.xxhash64(F.lit("s"), "ga", "gb").alias("list"), score, both))
+        entries = put(entries.unionByName(lists.select(F.xxhash64(F.lit("h"), "h").alias("list"), F.lit(1.0).alias("score"), "cid", "n")))
         used = entries.select("cid").distinct().join(t_ids.groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "cid")
         sets = put(self._texts(used.select("doc_id", "cid"), "cid").mapInArrow(_whole(size), "cid long, s binary").dropDuplicates(["cid"]))
         self.store.drop(post, post2, reps, more)

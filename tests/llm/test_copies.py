@@ -76,6 +76,31 @@ def test_jaccard_join(spark):
         assert got == {i: (n[i], comp[i]) for i in range(len(texts))}
 
 
+def short_texts():
+    """Many short texts, each with a variant: a word appended or one changed."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    out = []
+    for i in range(2000):
+        t = [word() for _ in range(rng.randint(7, 30))]
+        v = [*t, word()] if i % 2 else list(t)
+        if i % 2 == 0:
+            v[rng.choice([0, -1, rng.randrange(len(v))])] = word()
+        out += [t, v]
+    rng.shuffle(out)
+    return [" ".join(t) for t in out]
+
+
+def test_jaccard_join_short_texts(spark):
+    texts = short_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size, num, den in ((4, 85, 100), (5, 4, 5)):
+        got = {r[0]: r[1:] for r in similarity_join.jaccard_components(docs, size, num, den).collect()}
+        n, comp = brute_jaccard(texts, size, num, den)
+        want = {i: (n[i], comp[i]) for i in range(len(texts))}
+        assert len(set(comp.values())) < len(texts) - 1000 and [i for i in want if got[i] != want[i]] == []
+
+
 def test_jaccard_join_odd_rows(spark):
     r = rows()
     got = Counter(map(tuple, similarity_join.jaccard_components(table(spark)).collect()))
