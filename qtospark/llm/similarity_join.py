@@ -196,7 +196,9 @@ class JaccardJoin:
         order = F.array_sort(F.collect_list("h"))
         lists = last.groupBy("cid", "n", "k").agg(order.alias("hs")).select(
             "cid", "n", F.explode(F.slice("hs", F.lit(1), F.col("k").cast("int"))).alias("h"))
-        crowd = members.groupBy("gid").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("gid")
+        # groups without an uncommon shingle have been joined set by set; other sets of equal size may be unable to link
+        crowd = members.groupBy("gid", "n").agg(F.count(F.lit(1)).alias("_m")).filter((F.col("_m") > 1) & (self._need(F.col("n"), F.col("n")) < F.col("n")))
+        crowd = crowd.join(info.filter("r > hot"), "gid", "left_semi").select("gid")
         score = (F.col("shared") / F.col("na")).alias("score")
         two = pairs.select(F.xxhash64("ga", "gb").alias("list"), score, F.explode(F.array("ga", "gb")).alias("gid"))
         entries = two.unionByName(crowd.select(F.xxhash64(F.lit("g"), "gid").alias("list"), F.lit(2.0).alias("score"), "gid"))

@@ -101,6 +101,20 @@ def test_jaccard_join_short_texts(spark):
         assert len(set(comp.values())) < len(texts) - 1000 and [i for i in want if got[i] != want[i]] == []
 
 
+def test_jaccard_join_short_groups_are_no_crowds(spark, monkeypatch):
+    """Distinct texts of few words cannot link, so they are in no list together."""
+    docs = spark.createDataFrame([(i, f"w{i} x{i} y{i} z{i}") for i in range(300)], "doc_id long, text string")
+    seen = []
+
+    def settle(self, entries, sets):
+        seen.append(entries.count())
+        return self.spark.createDataFrame([], "node long, component long")
+
+    monkeypatch.setattr(similarity_join.JaccardJoin, "_settle", settle)
+    similarity_join.jaccard_components(docs, 4, 85, 100)
+    assert seen == [0]
+
+
 def test_jaccard_join_odd_rows(spark):
     r = rows()
     got = Counter(map(tuple, similarity_join.jaccard_components(table(spark)).collect()))
