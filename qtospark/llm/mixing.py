@@ -53,31 +53,39 @@ def mix(
     words have size 0 and are taken with 0 words; null is a source of its own; repeated rows
     are documents of their own; an empty table gives no rows.
     """
+    return _mixed(docs, id_col, text_col, source_col, weights, share, repeats).drop("row")
+
+
+def _mixed(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2,
+) -> DataFrame:
+    """The rows of :func:`mix` with ``row``, a key of the document's row."""
     spark = docs.sparkSession
     store = Scratch(spark)
     sized = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
     ).withColumn("_h", F.md5(F.concat_ws("|", F.lit(SEED), F.col("doc_id").cast("string"))))
-    sized = store.put(sized)
+    sized = store.put(sized.withColumn("row", F.monotonically_increasing_id()))
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats, store)
     goal = goal.withColumnRenamed("source", "_source")
     q = sized.join(goal, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_q", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
-    q = running_sum(q, ["_q"], F.substring("_h", 1, 3), ["_h", "doc_id", "size"], "size", "_end")
+    q = running_sum(q, ["_q"], F.substring("_h", 1, 3), ["_h", "doc_id", "size", "row"], "size", "_end")
     q = q.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     q = q.withColumn("start", F.col("copy") * F.col("source_size") + F.col("_end") - F.col("size"))
     q = q.withColumn("finish", F.when(F.col("target") > 0, (F.col("start") + F.col("size")) / F.col("target")).otherwise(0.0))
     left = F.greatest(F.lit(0).cast("long"), F.floor("target") - F.col("start"))
     q = q.withColumn("taken", F.least("size", left))
-    q = q.select("doc_id", "copy", "size", "source", "source_size", "target", "start", "finish", "taken")
+    q = q.select("row", "doc_id", "copy", "size", "source", "source_size", "target", "start", "finish", "taken")
     return running_total(store, q, ["finish", "source", "start", "doc_id", "copy"], "taken", "place")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, size, source_size, target, taken``: words of each document in the mix."""
-    m = mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    m = _mixed(documents(spark, sf_dir).select("doc_id", "text", "source"))
     # rows of one document that is repeated in the table stay rows of their own
-    return m.groupBy("doc_id", "size", "source_size", "target", (F.col("start") - F.col("copy") * F.col("source_size")).alias("queue_start")).agg(
-        F.sum("taken").alias("taken"))
+    return m.groupBy("row", "doc_id", "size", "source_size", "target", (F.col("start") - F.col("copy") * F.col("source_size")).alias("queue_start")).agg(
+        F.sum("taken").alias("taken")).drop("row")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

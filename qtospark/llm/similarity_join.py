@@ -274,6 +274,14 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the least id."""
-    c = jaccard_components(docs).filter("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(c, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+    """One document of each group stays: the row with the least id, null last; of rows that
+    share it, one.  Rows are known by a key that is written once."""
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    rows = Scratch(spark).put(docs.withColumn(key, F.monotonically_increasing_id()))
+    c = jaccard_components(rows, id_col=key).select(F.col("doc_id").alias(key), "component_id")
+    ids = rows.select(key, F.col("doc_id").alias("_id")).join(c, key)
+    least = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", F.col(key).alias("_k")))
+    kept = ids.groupBy("component_id").agg(least.alias("_m")).select(F.col("_m._k").alias(key))
+    return rows.join(kept, key, "left_semi").select(*docs.columns)

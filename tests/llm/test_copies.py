@@ -125,6 +125,23 @@ def test_jaccard_join_odd_rows(spark):
     assert kept.columns == table(spark).columns and {r["doc_id"] for r in kept.collect()} >= {0, 1, 3, 10, None}
 
 
+def test_stage_keeps_one_row(spark):
+    rng = random.Random(12)
+    a, b, c, d, e = (" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(80)) for _ in range(5))
+    rows = [
+        (1, a), (1, a), (2, a + " tail"),  # a row repeated in full
+        (None, b), (None, b), (None, b + " tail"), (None, c), (9, c),  # no ids
+        (3, d), (7, d + " tail"), (7, e),  # an id that a kept row of another group has too
+        (4, ""), (4, ""), (None, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(map(tuple, similarity_join.stage(spark, docs, "").collect()))
+    group = {t: g for g in (a, b, c, d, e) for t in (g, g + " tail")}
+    assert Counter((i, group.get(t, t)) for i, t in got.elements()) == Counter(
+        [(1, a), (None, b), (9, c), (3, d), (7, e), (4, ""), (4, ""), (None, None)])
+    assert got[(1, a)] == 1 and got[(3, d)] == 1
+
+
 def brute_repeats(texts, width):
     where = defaultdict(list)
     raws = [(t or "").encode() for t in texts]

@@ -125,6 +125,12 @@ def test_quality_ledger(spark):
     assert quality.ledger(empty(spark)).count() == 0
 
 
+def test_mixing_keeps_repeated_rows(spark, tmp_path):
+    more = [(1, "", "en", "a", 0), (1, "", "en", "a", 0), (None, "x y", "en", "a", 3), (None, "x y", "en", "a", 3), (2, "x y z", "en", "b", 5)]
+    spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r[0] or 0, r[1]) for r in mixing.op10_mix_sources(spark, str(tmp_path)).collect()) == [(0, 2), (0, 2), (1, 0), (1, 0), (2, 3)]
+
+
 def test_mixing(spark):
     m = mixing.mix(table(spark)).collect()
     n = sum(len(WORD.findall(r[1] or "")) for r in rows())
