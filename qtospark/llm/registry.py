@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, huffman, licences, mixing, packing, quality, similarity_join, substrings, token_counts, toxicity
+from . import embeddings, huffman, licences, manifest, mixing, packing, quality, similarity_join, substrings, token_counts, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": similarity_join.op1_ngram_jaccard_join,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_embedding_neardup": embeddings.op8_embedding_neardup,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op13_merkle_manifest": manifest.op13_merkle_manifest,
 }
 ORACLES = {
     "op9_quality_rules": quality.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
+    "op13_merkle_manifest": manifest.ORACLE,
 }
