@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, huffman, licences, manifest, mixing, packing, quality, similarity_join, substrings, token_counts, toxicity
+from . import embeddings, huffman, licences, manifest, mixing, packing, pii, quality, similarity_join, substrings, token_counts, toxicity, whitening
 
 QUERIES = {
     "op1_ngram_jaccard_join": similarity_join.op1_ngram_jaccard_join,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_embedding_neardup": embeddings.op8_embedding_neardup,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_pii": pii.op11_pii,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
     "op13_merkle_manifest": manifest.op13_merkle_manifest,
 }
 ORACLES = {
