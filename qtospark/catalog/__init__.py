@@ -12,7 +12,7 @@ from ..sources import adapters
 
 MODULES = [
     "scalars", "trades_q", "measure_q", "material_q", "merge_q", "truth_q", "learn_q",
-    "spans_q", "quality_q", "io_q", "stream_q",
+    "spans_q", "drawing_q", "quality_q", "io_q", "stream_q",
 ]
 
 

@@ -230,19 +230,11 @@ PAIRS = FACES + """
 """
 
 
-@query("wall_pairs", "J35 G8", PAIRS + "SELECT * FROM wp", "segments")
+@query("wall_pairs", "J35", PAIRS + "SELECT * FROM wp", "segments")
 def wall_pairs(t: Tables):
     return S.wall_pairs(S.wall_faces(t.segments), 4.0, 16.0)
 
 
-@query("wall_lengths", "A32 J26", PAIRS + """SELECT plan_id, CASE WHEN abs(dicke-12) <= 2 THEN 'AW' WHEN abs(dicke-8) <= 2 THEN 'IW' ELSE 'unbekannt' END AS code, dicke, round(sum(laenge), 4) AS laenge, count(*) AS n FROM wp GROUP BY 1,2,3""", "segments")
-def wall_lengths(t: Tables):
-    p = S.wall_pairs(S.wall_faces(t.segments), 4.0, 16.0)
-    # legend of two wall codes: snap to the nearest thickness within 2
-    code = F.when(F.abs(F.col("dicke") - 12) <= 2, F.lit("AW")).when(F.abs(F.col("dicke") - 8) <= 2, F.lit("IW")).otherwise(F.lit("unbekannt"))
-    return p.groupBy("plan_id", code.alias("code"), "dicke").agg(F.round(F.sum("laenge"), 4).alias("laenge"), F.count(F.lit(1)).alias("n"))
-
-
 @query("layer_profile", "A31", """SELECT plan_id, grau, breite, count(*) AS n, round(avg(CASE WHEN achse='h' THEN 1.0 ELSE 0 END), 6) AS anteil_h, max(hi-lo) AS max_len, round(sum(hi-lo), 4) AS sum_len FROM segments GROUP BY 1,2,3""", "segments")
 def layer_profile(t: Tables):
     return S.layer_profile(t.segments).withColumn("anteil_h", F.round("anteil_h", 6)).withColumn("sum_len", F.round("sum_len", 4))

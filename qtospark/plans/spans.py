@@ -264,8 +264,8 @@ def wall_faces(segments: DataFrame, gap: float = 0.5) -> DataFrame:
     return s.groupBy(*SEG, "_isl").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_isl")
 
 
-def wall_pairs(faces: DataFrame, lo: float, hi: float, share: float = 0.7) -> DataFrame:
-    """Parallel faces ``lo..hi`` apart that overlap at least 70 % of the shorter one."""
+def wall_pairs(faces: DataFrame, lo: float, hi: float, share: float = 0.7, starts: bool = False) -> DataFrame:
+    """Parallel faces ``lo..hi`` apart that overlap at least 70 % of the shorter one; ``starts`` adds where each begins."""
     key = ["plan_id", "seite", "achse"]
     a = faces.withColumn("_b", F.floor(F.col("pos") / hi))
     b = faces.select(*key, *[F.col(c).alias("q_" + c) for c in ("pos", "lo", "hi")]).withColumn("_b", F.floor(F.col("q_pos") / hi))
@@ -275,7 +275,8 @@ def wall_pairs(faces: DataFrame, lo: float, hi: float, share: float = 0.7) -> Da
     short = F.least(F.col("hi") - F.col("lo"), F.col("q_hi") - F.col("q_lo"))
     return j.filter(ov >= share * short).select(
         *key, "pos", F.col("q_pos").alias("pos2"), F.greatest("lo", "q_lo").alias("lo"), F.least("hi", "q_hi").alias("hi"),
-        (F.col("q_pos") - F.col("pos")).alias("dicke"), ov.alias("laenge"))
+        (F.col("q_pos") - F.col("pos")).alias("dicke"), ov.alias("laenge"),
+        *([F.col("lo").alias("lo1"), F.col("q_lo").alias("lo2")] if starts else []))
 
 
 def layer_profile(segments: DataFrame) -> DataFrame:
