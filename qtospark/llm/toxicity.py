@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, words
+from .common import Scratch, documents, slices, words
 
 #: Terms that name groups of people without judging them, by kind.
 IDENTITY_TERMS = [
@@ -59,58 +59,61 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def _select(rows: list[tuple[int, list[str]]]) -> list[str]:
-    """Features by likelihood ratio for toxicity; identity terms always take part."""
-    pos, neg = {}, {}
-    n_pos = sum(y for y, _ in rows)
-    n_neg = len(rows) - n_pos
-    for y, fs in rows:
-        side = pos if y else neg
-        for f in fs:
-            side[f] = side.get(f, 0) + 1
-    scored = []
-    least = max(3, n_pos // 200)
-    for f, p in pos.items():
-        if p < least:
-            continue
-        q = neg.get(f, 0)
-        rate_p, rate_q = p / n_pos, (q + 0.5) / (n_neg + 1)
-        if rate_p > 4 * rate_q:
-            scored.append((-p * np.log(rate_p / rate_q), f))
-    chosen = [f for _, f in sorted(scored)[:MAX_FEATURES]]
-    terms = [t for group in IDENTITY_TERMS for t in group]
-    return sorted(set(chosen) | set(terms))
-
-
-def _swaps(fs: set[str]) -> list[tuple[set[str], set[str]]]:
-    """Counterfactuals of a text: features lost and gained when an identity term is exchanged
+def _terms() -> list[str]:
+    return [t for group in IDENTITY_TERMS for t in group]
+
+
+def select(feats: DataFrame, n_pos: int, n_neg: int) -> list[str]:
+    """At most ``MAX_FEATURES`` features by likelihood ratio for toxicity, counted where the texts are;
+    identity terms always take part.  Only the chosen ones reach the driver."""
+    counts = feats.select("toxic", F.explode("f").alias("f")).groupBy("f").agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("n"))
+    rate_p, rate_q = F.col("p") / F.lit(float(n_pos)), (F.col("n") - F.col("p") + 0.5) / F.lit(n_neg + 1.0)
+    good = counts.filter((F.col("p") >= max(3, n_pos // 200)) & (rate_p > 4 * rate_q))
+    best = good.orderBy(-F.col("p") * F.log(rate_p / rate_q), "f").limit(MAX_FEATURES).select("f").collect()
+    return sorted({r["f"] for r in best} | set(_terms()))
+
+
+def _numbers(names: list[str]):
+    """Function from feature lists to sorted numbers of the chosen features."""
+    index = {f: i for i, f in enumerate(names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [sorted(index[f] for f in fs if f in index) for fs in b.column("f").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(kept, pa.list_(pa.int32()))], ["toxic", "k"])
+
+    return run
+
+
+def _swaps(kept: list[int], index: dict[str, int], names: list[str]) -> list[tuple[set[int], set[int]]]:
+    """Counterfactuals of a text: chosen features lost and gained when an identity term is exchanged
     for the others of its kind."""
-    out = []
+    out, has = [], set(kept)
+    numbers = lambda term: {index[f] for f in word_features(term) if f in index}
     for group in IDENTITY_TERMS:
-        for term in fs.intersection(group):
-            lost = set(word_features(term))
-            out += [(lost & fs, set(word_features(o)) - fs) for o in group if o != term and o not in fs]
+        for term in group:
+            if index[term] in has:
+                out += [(numbers(term) & has, numbers(o) - has) for o in group if o != term and index[o] not in has]
     return out
 
 
-def fit(rows: list[tuple[int, list[str]]], penalty: float = 4.0, ridge: float = 2e-3, steps: int = 400) -> Model:
-    """Logistic regression on feature presence.  For every counterfactual of a training text
-    the squared change of its score counts ``penalty`` times, so weight moves from the name of
-    a group to what is said.  Without labels of both kinds the score is the base rate."""
+def fit(rows: list[tuple[int, list[int]]], names: list[str], penalty: float = 4.0, ridge: float = 2e-3, steps: int = 400) -> Model:
+    """Logistic regression on the presence of the features ``names``, given by number.  For every
+    counterfactual of a training text the squared change of its score counts ``penalty`` times, so
+    weight moves from the name of a group to what is said.  Without labels of both kinds the score
+    is the base rate."""
     y = np.array([t for t, _ in rows], float)
     if len(rows) == 0 or y.min() == y.max():
         rate = float(y.mean()) if len(rows) else 0.0
         rate = min(max(rate, 1e-3), 1 - 1e-3)
         return Model([], np.zeros(0), float(np.log(rate / (1 - rate))))
-    names = _select(rows)
     index = {f: i for i, f in enumerate(names)}
-    kept = [sorted(index[f] for f in fs if f in index) for _, fs in rows]
-    r = np.repeat(np.arange(len(kept)), [len(k) for k in kept])
-    c = np.array([i for k in kept for i in k], np.int64)
-    pairs = [(lost, won) for _, fs in rows for lost, won in _swaps(set(fs))]
-    dr = np.array([k for k, (a, b) in enumerate(pairs) for f in [*a, *b] if f in index], np.int64)
-    dc = np.array([index[f] for a, b in pairs for f in [*a, *b] if f in index], np.int64)
-    ds = np.array([s for a, b in pairs for s, g in ((-1.0, a), (1.0, b)) for f in g if f in index])
+    r = np.repeat(np.arange(len(rows)), [len(k) for _, k in rows])
+    c = np.array([i for _, k in rows for i in k], np.int64)
+    pairs = [swap for _, k in rows for swap in _swaps(k, index, names)]
+    dr = np.array([k for k, (a, b) in enumerate(pairs) for _ in range(len(a) + len(b))], np.int64)
+    dc = np.array([i for a, b in pairs for i in [*a, *b]], np.int64)
+    ds = np.array([s for a, b in pairs for s, g in ((-1.0, a), (1.0, b)) for _ in g])
     w, bias = np.zeros(len(names)), float(np.log(y.mean() / (1 - y.mean())))
     m1, m2 = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for t in range(1, steps + 1):
@@ -128,13 +131,23 @@ def fit(rows: list[tuple[int, list[str]]], penalty: float = 4.0, ridge: float =
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
-    """Fits on at most ``most`` labelled rows outside the held-out third, by digest order."""
+    """Fits on at most ``most`` labelled rows outside the held-out third, by digest order.
+
+    Of several labels of an id the toxic one holds; rows that share a labelled id are trained on each; null ids and
+    null labels are left out.  The driver holds the chosen features and, of each row, their numbers:
+    its memory does not grow with the length of the texts.
+    """
     ids = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "toxic")
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most)
     x = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most `most` ids
-    rows = x.select("toxic", "text").mapInArrow(_features, "toxic int, f array<string>")
-    return fit(sorted((int(r["toxic"]), r["f"]) for r in rows.toLocalIterator()))
+    store = Scratch(docs.sparkSession)
+    feats = store.put(x.select("toxic", "text").mapInArrow(_features, "toxic int, f array<string>"))
+    n = {r["toxic"]: r["count"] for r in feats.groupBy("toxic").count().collect()}
+    names = select(feats, n[1], n[0]) if n.get(0) and n.get(1) else []
+    rows = feats.mapInArrow(_numbers(names), "toxic int, k array<int>").collect()
+    store.drop(feats)
+    return fit(sorted((int(r["toxic"]), list(r["k"])) for r in rows), names)
 
 
 def _scores(model: Model):

@@ -152,7 +152,7 @@ def test_mixing(spark):
 def test_toxicity(spark):
     t, n = ["you idiot go away", "what a moron he is", "idiot moron fool"], ["a fine day", "the women sing", "we walk home"]
     data = [(1, toxicity_words(x)) for x in t for _ in range(9)] + [(0, toxicity_words(x)) for x in n for _ in range(20)]
-    model = toxicity.fit(data)
+    model = fit_toxicity(spark, data)
     base = toxicity._scores(model)
     import pyarrow as pa
 
@@ -160,19 +160,25 @@ def test_toxicity(spark):
     assert s[0] > 0.3 > s[1] and s[2] == s[3] < 0.3
     assert toxicity.score(table(spark), model).count() == len(rows())
     assert toxicity.score(empty(spark), model).count() == 0
-    assert toxicity.fit([]).features == [] and toxicity.fit([(1, ["a"])]).bias > 0
+    assert toxicity.fit([], []).features == [] and toxicity.fit([(1, [0])], ["a"]).bias > 0
     kept = toxicity.keep_clean(table(spark, ["you idiot, what a moron he is"]), model)
     assert kept.columns == table(spark).columns and kept.count() == len(rows())
 
 
-def test_counterfactual_penalty():
+def test_counterfactual_penalty(spark):
     toxic = [(1, toxicity_words("the gay idiot"))] * 20 + [(1, toxicity_words("you idiot"))] * 5
     clean = [(0, toxicity_words("we sing"))] * 30 + [(0, toxicity_words("a straight road"))] * 5
-    free, held = toxicity.fit([*toxic, *clean], penalty=0), toxicity.fit([*toxic, *clean], penalty=50)
+    free, held = (fit_toxicity(spark, [*toxic, *clean], penalty=p) for p in (0, 50))
     gap = lambda m: abs(dict(zip(m.features, m.weights))["gay"] - dict(zip(m.features, m.weights))["lesbian"])
     assert gap(held) < 0.3 * gap(free)
 
 
+def fit_toxicity(spark, data, **how):
+    names = toxicity.select(spark.createDataFrame(data, "toxic int, f array<string>"), sum(y for y, _ in data), sum(not y for y, _ in data))
+    assert {t for g in toxicity.IDENTITY_TERMS for t in g} <= set(names)
+    return toxicity.fit([(y, sorted(names.index(f) for f in fs if f in names)) for y, fs in data], names, **how)
+
+
 def toxicity_words(text):
     return sorted({f for w in text.split() for f in toxicity.word_features(w)})
 
