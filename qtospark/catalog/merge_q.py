@@ -197,7 +197,21 @@ def best_chains(t: Tables):
     return v.groupBy("projekt_id", "seite").agg(best.alias("b")).select("projekt_id", "seite", "b.achse_id", "b.validiert", F.round("b.laenge", 4).alias("laenge"))
 
 
-@query("demo_copy", "S16", "SELECT room_id, projekt_id + 1000000007 AS projekt_id, name FROM rooms WHERE firma_id = 8", "rooms")
+@query("demo_copy", "S16", """
+, p AS (SELECT DISTINCT projekt_id FROM plans WHERE firma_id = 8)
+ SELECT 'plans' AS tabelle, CAST(plan_id AS VARCHAR) AS alt_id, CAST(plan_id + 1000000007 AS VARCHAR) AS neu_id, projekt_id + 1000000007 AS projekt_id, plan_id + 1000000007 AS plan_id FROM plans JOIN p USING (projekt_id)
+ UNION ALL SELECT 'rooms', room_id, room_id || '~demo', r.projekt_id + 1000000007, CASE WHEN plan_id IN (SELECT plan_id FROM plans JOIN p USING (projekt_id)) THEN plan_id + 1000000007 END FROM rooms r JOIN p USING (projekt_id)
+ UNION ALL SELECT 'openings', opening_id, opening_id || '~demo', o.projekt_id + 1000000007, CASE WHEN plan_id IN (SELECT plan_id FROM plans JOIN p USING (projekt_id)) THEN plan_id + 1000000007 END FROM openings o JOIN p USING (projekt_id)
+ UNION ALL SELECT 'measurements', messung_id, messung_id || '~demo', m.projekt_id + 1000000007, NULL FROM measurements m JOIN p USING (projekt_id)""", "plans rooms openings measurements")
 def demo_copy(t: Tables):
-    m = t.rooms.filter("firma_id = 8").select(F.col("projekt_id").alias("old")).distinct().withColumn("new", F.col("old") + 1000000007)
-    return G.remap_copy(t.rooms, m).select("room_id", "projekt_id", "name")
+    """Plans, rooms, openings and measurements of one company's projects under new ids."""
+    roots = t.plans.filter("firma_id = 8").select(F.col("projekt_id").alias("id")).distinct()
+    up = {"projekt_id": "projects"}
+    both = {**up, "plan_id": "plans"}
+    made = G.copy_subtree([
+        ("plans", t.plans, "plan_id", up), ("rooms", t.rooms, "room_id", both), ("openings", t.openings, "opening_id", both),
+        ("measurements", t.measurements.withColumn("plan_id", F.lit(None).cast("bigint")), "messung_id", up)], roots, "projects", "demo", 1000000007)
+    ids = {"plans": "plan_id", "rooms": "room_id", "openings": "opening_id", "measurements": "messung_id"}
+    parts = [d.select(
+        F.lit(n).alias("tabelle"), F.col("alt_id").cast("string").alias("alt_id"), F.col(ids[n]).cast("string").alias("neu_id"), "projekt_id", "plan_id") for n, d in made.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

@@ -5,6 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
+
+def _places(what: str, t: Column) -> list[Column]:
+    """Places, from 0, of the values whose mean is asked for, in a group of ``t`` values."""
+    return {
+        "upper": [F.floor(t / 2)], "lower": [F.floor((t - 1) / 2)], "q1": [F.floor(t / 4)], "q3": [F.floor(t * 3 / 4)],
+        "median": [F.floor((t - 1) / 2), F.floor(t / 2)],
+    }.get(what) or [F.floor(F.lit(float(what[1:]) / 100.0) * (t - 1))]
+
+
+def wide_order_stats(df: DataFrame, keys: list[str], value: str, picks: dict[str, str], ranges: int = 256) -> DataFrame:
+    """:func:`order_stats` for groups with very many distinct values, in two steps.
+
+    Distinct values are counted, and a sketch gives each group bounds that cut them into about
+    ``ranges`` equal parts.  Counts by part say in which part each wanted place is; only values of these parts are
+    sorted.  So a task holds one part, also where one group has all rows (or ``keys`` is empty).  The sketch
+    decides how even the parts are, not the result.  Groups without a value are left out.
+    """
+    k = keys or ["_all"]
+    d = df.filter(F.col(value).isNotNull())
+    d = d if keys else d.withColumn("_all", F.lit(0))
+    counts = cut(d.groupBy(*k, value).agg(F.count(F.lit(1)).alias("_n")))
+    at = [i / ranges for i in range(1, ranges)]
+    bounds = cut(counts.groupBy(*k).agg(F.percentile_approx(value, at, 10 * ranges).alias("_b"), F.sum("_n").alias("_t")))
+    part = F.size(F.filter("_b", lambda b: b < F.col(value)))
+    c = cut(counts.join(bounds.select(*k, "_b"), k).withColumn("_part", part).drop("_b"))
+    per = c.groupBy(*k, "_part").agg(F.sum("_n").alias("_c"))
+    per = per.withColumn("_to", F.sum("_c").over(Window.partitionBy(*k).orderBy("_part")))
+    t = F.col("_t")
+    asked = [F.struct(F.lit(f"{out}:{i}").alias("_pick"), p.cast("long").alias("_place"))
+             for out, what in picks.items() if what != "n" for i, p in enumerate(_places(what, t))]
+    want = bounds.select(*k, F.inline(F.array(*asked))).join(per, k).filter((F.col("_to") - F.col("_c") <= F.col("_place")) & (F.col("_place") < F.col("_to")))
+    want = want.select(*k, "_part", "_pick", (F.col("_place") - (F.col("_to") - F.col("_c"))).alias("_place"))
+    hit = c.join(want, [*k, "_part"])
+    upto = F.sum("_n").over(Window.partitionBy(*k, "_part", "_pick").orderBy(value))
+    hit = hit.withColumn("_to", upto).filter((F.col("_to") - F.col("_n") <= F.col("_place")) & (F.col("_place") < F.col("_to")))
+
+    def got(out: str, i: int) -> Column:
+        return F.max(F.when(F.col("_pick") == f"{out}:{i}", F.col(value)))
+
+    aggs = [((got(o, 0) + got(o, 1)) / 2.0 if w == "median" else got(o, 0)).alias(o) for o, w in picks.items() if w != "n"]
+    total = bounds.select(*k, *(t.alias(o) for o, w in picks.items() if w == "n"))
+    res = hit.groupBy(*k).agg(*aggs).join(total, k)
+    return res.select(*keys, *picks)
+
 
 def order_stats(df: DataFrame, keys: list[str], value: str, picks: dict[str, str]) -> DataFrame:
     """Exact order statistics per group from value counts.
@@ -24,20 +70,13 @@ def order_stats(df: DataFrame, keys: list[str], value: str, picks: dict[str, str
         return F.max(F.when((F.col("_hi") - F.col("_n") <= i) & (i < F.col("_hi")), F.col(value)))
 
     t = F.col("_t")
-    index = {
-        "upper": F.floor(t / 2), "lower": F.floor((t - 1) / 2),
-        "q1": F.floor(t / 4), "q3": F.floor(t * 3 / 4),
-    }
     aggs = []
     for out, what in picks.items():
         if what == "n":
             aggs.append(F.max(t).alias(out))
-        elif what.startswith("p"):  # index percentile, s[int(p·(n−1))]
-            aggs.append(at(F.floor(F.lit(float(what[1:]) / 100.0) * (t - 1))).alias(out))
-        elif what == "median":
-            aggs.append(((at(index["lower"]) + at(index["upper"])) / 2.0).alias(out))
-        else:
-            aggs.append(at(index[what]).alias(out))
+            continue
+        found = [at(i) for i in _places(what, t)]
+        aggs.append(((found[0] + found[1]) / 2.0 if what == "median" else found[0]).alias(out))
     return counts.groupBy(*keys).agg(*aggs)
 
 

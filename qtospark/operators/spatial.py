@@ -7,9 +7,11 @@ equi-join on ``keys + cell`` and the exact distance is a residual filter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def _cell(c: Column, size: float) -> Column:
     return F.floor(c / F.lit(float(size)))
@@ -74,7 +76,7 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, ri
       with empty surroundings look at the wide ring.  Dense areas never meet wide cells.
     * Pairs are folded into ``min(struct(dist, id))`` before the shuffle.
 
-    ``radius=None`` has no limit (rows that see nothing near scan their key group);
+    ``radius=None`` has no limit (rows that see nothing near go down a pyramid of cells);
     ``cap`` names a column of the left side with a per-row limit (null = none, exclusive).
     """
     points = (
@@ -113,8 +115,7 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, ri
         far = todo.filter("_lv = 9")
         if cap:
             far = far.filter(F.col(cap).isNull() | (F.col(cap) > wide))
-        whole = points.select(*keys, F.col(x).alias("r_" + x), F.col(y).alias("r_" + y), "_rid")
-        pairs = pairs.unionByName(far.join(whole, keys).select(left_id, *extra, distance(x, y).alias("_d"), "_rid"))
+        pairs = pairs.unionByName(_far_pairs(far, points, keys, left_id, extra, x, y, f / 4.0))
     else:
         pairs = pairs.filter(F.col("_d") < radius if strict else F.col("_d") <= radius)
     if cap:
@@ -125,6 +126,46 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, ri
     return out if ties else out.drop("tied")
 
 
+def _far_pairs(far: DataFrame, points: DataFrame, keys: list[str], left_id: str, extra: list[str], x: str, y: str, base: float) -> DataFrame:
+    """Candidate pairs for rows whose nearest point may be anywhere: ``left_id, extra.., _d, _rid``.
+
+    Cells grow by four a level up to the size of the drawing.  A row starts at the largest cells of its
+    keys and goes down; of the cells it sees it keeps those that may hold its nearest point: no farther
+    than the far corner of the best one.  So it meets the points of a few small cells, however many its keys have.
+    """
+    far = cut(far)
+    if far.isEmpty():
+        ident = points.schema["_rid"].dataType
+        return far.select(left_id, *extra, F.lit(None).cast("double").alias("_d"), F.lit(None).cast(ident).alias("_rid"))
+    pts = cut(points.withColumn("_gx", _cell(F.col(x), base)).withColumn("_gy", _cell(F.col(y), base)))
+    size = pts.agg(F.max(F.greatest(F.abs("_gx"), F.abs("_gy")))).first()[0] or 0
+    top = 0
+    while 4 ** top <= size:
+        top += 1
+    cells = [cut(pts.select(*keys, "_gx", "_gy").distinct())]
+    for _ in range(top):
+        up = cells[-1].select(*keys, F.floor(F.col("_gx") / 4).alias("_gx"), F.floor(F.col("_gy") / 4).alias("_gy")).distinct()
+        cells.append(cut(up))
+    seen = far.select(left_id, *extra, *keys, x, y).join(cells[top], keys)
+    for level in range(top, -1, -1):
+        side = base * 4.0 ** level
+        low, high = [], []
+        for c, g in ((x, "_gx"), (y, "_gy")):
+            a, b = F.col(g) * side - F.col(c), F.col(c) - (F.col(g) + 1) * side
+            low.append(F.greatest(a, b, F.lit(0.0)))
+            high.append(F.greatest(F.abs(a), F.abs(b)))
+        near, most = (F.sqrt(d[0] * d[0] + d[1] * d[1]) for d in (low, high))
+        best = F.min(most).over(Window.partitionBy(left_id))
+        seen = seen.withColumn("_low", near).withColumn("_best", best).filter(F.col("_low") <= F.col("_best") * 1.000001 + 1e-6).drop("_low", "_best")
+        if level:
+            below = cells[level - 1].select(
+                *keys, F.floor(F.col("_gx") / 4).alias("_ux"), F.floor(F.col("_gy") / 4).alias("_uy"), F.col("_gx").alias("_nx"), F.col("_gy").alias("_ny"))
+            seen = seen.withColumnsRenamed({"_gx": "_ux", "_gy": "_uy"}).join(below, [*keys, "_ux", "_uy"])
+            seen = seen.drop("_ux", "_uy").withColumnsRenamed({"_nx": "_gx", "_ny": "_gy"})
+    right = pts.select(*keys, "_gx", "_gy", F.col(x).alias("r_" + x), F.col(y).alias("r_" + y), "_rid")
+    return seen.join(right, [*keys, "_gx", "_gy"]).select(left_id, *extra, distance(x, y).alias("_d"), "_rid")
+
+
 def proximity_edges(df: DataFrame, keys: list[str], node: str, tol: float, x: str = "cx", y: str = "cy",
                     metric: str = "box") -> DataFrame:
     """Edges ``(src, dst)`` whose components equal those of "closer than ``tol``".

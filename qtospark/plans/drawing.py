@@ -244,3 +244,142 @@ def add_rbl(openings: DataFrame, rbl: DataFrame, keys: list[str], near: float =
     """Pairs of opening marks where no other opening is closer than ``near``."""
     ex, ey = F.col("cx") - F.col("r_cx"), F.col("cy") - F.col("r_cy")
     return box_join(rbl, openings.select(*keys, "cx", "cy"), keys, near, how="left_anti", condition=F.sqrt(ex * ex + ey * ey) < near)
+
+
+# --- views ------------------------------------------------------------------------
+
+
+def neighbour_counts(points: DataFrame, keys: list[str], radius: float, x: str = "cx", y: str = "cy", parts: int = 4) -> DataFrame:
+    """``keys, x, y, n``: rows within ``radius`` of every occupied spot, its own included.
+
+    Spots are counted into cells of a ``parts``-th of the radius.  A cell that lies inside the circle
+    counts as a whole, without meeting its spots; only cells that the circle cuts are looked into.
+    """
+    side = radius / parts
+    spots = cut(points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_m")))
+    spots = spots.withColumn("_gx", F.floor(F.col(x) / side)).withColumn("_gy", F.floor(F.col(y) / side))
+    cells = spots.groupBy(*keys, "_gx", "_gy").agg(F.sum("_m").alias("_all"))
+    around = [(i, j) for i in range(-parts - 1, parts + 2) for j in range(-parts - 1, parts + 2)]
+    ask = spots.select(*keys, x, y, (F.col("_gx")).alias("_hx"), (F.col("_gy")).alias("_hy"), F.inline(F.array(*[
+        F.struct(F.lit(i).cast("long").alias("_i"), F.lit(j).cast("long").alias("_j")) for i, j in around])))
+    ask = ask.select(*keys, x, y, (F.col("_hx") + F.col("_i")).alias("_gx"), (F.col("_hy") + F.col("_j")).alias("_gy"))
+
+    def span(c: str, g: str) -> tuple[Column, Column]:
+        a, b = F.col(g) * side - F.col(c), F.col(c) - (F.col(g) + 1) * side
+        return F.greatest(a, b, F.lit(0.0)), F.greatest(F.abs(a), F.abs(b))
+
+    (lx, hx), (ly, hy) = span(x, "_gx"), span(y, "_gy")
+    ask = ask.join(cells, [*keys, "_gx", "_gy"]).filter(lx * lx + ly * ly <= radius * radius * 1.000001)
+    inside = hx * hx + hy * hy <= radius * radius * 0.999999
+    whole = ask.filter(inside).select(*keys, x, y, F.col("_all").alias("n"))
+    other = spots.select(*keys, "_gx", "_gy", F.col(x).alias("_x"), F.col(y).alias("_y"), "_m")
+    ex, ey = F.col("_x") - F.col(x), F.col("_y") - F.col(y)
+    some = ask.filter(~inside).join(other, [*keys, "_gx", "_gy"]).filter(ex * ex + ey * ey <= radius * radius).select(*keys, x, y, F.col("_m").alias("n"))
+    return whole.unionByName(some).groupBy(*keys, x, y).agg(F.sum("n").alias("n"))
+
+
+def floor_plan_view(labels: DataFrame, keys: list[str], ptm: float, radius_m: float = 12.0, margin_m: float = 4.0, least: int = 3) -> DataFrame:
+    """Box of the floor plan on a page of several views: ``keys, x0, x1, y0, y1, n``.
+
+    From the label with most labels around it (the first such in the order of ``span_id``) all that hang
+    together with it by steps of at most the radius, and a margin.  Pages of fewer than ``least`` labels have none.
+    """
+    r = radius_m * ptm
+    lab = cut(labels.filter(F.col("cx").isNotNull() & F.col("cy").isNotNull()).select(*keys, "span_id", "cx", "cy"))
+    many = lab.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= least).drop("_c")
+    first = lab.groupBy(*keys, "cx", "cy").agg(F.min("span_id").alias("span_id"))
+    dense = neighbour_counts(lab, keys, r).join(first, [*keys, "cx", "cy"]).join(many, keys)
+    start = dense.groupBy(*keys).agg(F.min_by("span_id", F.struct(-F.col("n"), F.col("span_id"))).alias("_start"))
+    node = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], "span_id")
+    named = cut(lab.join(many, keys, "left_semi").withColumn("_id", node))
+    comp = connected_components(proximity_edges(named, keys, "_id", r * (1.0 + 1e-12), metric="disc"))
+    named = cut(named.join(comp, named["_id"] == comp["node"], "left").withColumn("_in", F.coalesce("component", "_id")))
+    home = named.join(start, keys).filter(F.col("span_id") == F.col("_start")).select(*keys, "_in")
+    m = margin_m * ptm
+    return named.join(home, [*keys, "_in"], "left_semi").groupBy(*keys).agg(
+        (F.min("cx") - m).alias("x0"), (F.max("cx") + m).alias("x1"), (F.min("cy") - m).alias("y0"), (F.max("cy") + m).alias("y1"), F.count(F.lit(1)).alias("n"))
+
+
+# --- layer tables -----------------------------------------------------------------
+
+
+def layer_tables(spans: DataFrame, keys: list[str], height: float = 300.0, column: float = 330.0, right: float = 260.0) -> DataFrame:
+    """Wall build-ups printed as tables: ``keys, code, span_id, n, dicke_cm, materialklasse, tragend_mm, tragend_material``.
+
+    A wall code with more text heads a build-up.  Millimetre values below it belong to it up to the next head
+    in its column, ``height`` at most; their material is the first span to the right on the line.  A build-up of
+    fewer than two layers is none; of several with one code the first in the order of ``ord`` holds.  The thickest layer of concrete,
+    masonry or timber (the upper one of equals) bears and decides the class.
+    """
+    s = cut(spans.filter(F.trim("text") != "").select(*keys, "span_id", "ord", "cx", "cy", "x0", F.trim("text").alias("text")))
+    whole, kind, num = (F.regexp_extract("text", LAYER_CODE_RX, g) for g in (0, 1, 2))
+    head = s.filter(whole != "").filter(F.length("text") > F.length(whole) + 3)
+    tail = F.regexp_extract("text", "(?i)" + LAYER_CODE_RX[4:] + r"(.*)$", 3)
+    head = cut(head.select(*keys, "span_id", "ord", "cx", "cy", F.concat(F.upper(kind), num).alias("code"), tail.alias("rest")))
+    below = box_join(head, head.select(*keys, "cx", "cy"), keys, column, height, condition=(F.col("r_cy") > F.col("cy") + 2) & (F.abs(F.col("r_cx") - F.col("cx")) < column))
+    ends = below.groupBy(*keys, "span_id").agg(F.min("r_cy").alias("_next"))
+    head = head.join(ends, [*keys, "span_id"], "left").withColumn("_end", F.least(F.col("cy") + height, F.coalesce("_next", F.col("cy") + height)))
+    mm = F.regexp_extract("text", LAYER_MM_RX, 1)
+    layer = cut(s.filter(mm != "").select(*keys, F.col("span_id").alias("layer_id"), F.col("ord").alias("_o"), "cx", "cy", mm.cast("int").alias("mm")))
+    # the text on the same line, to the right
+    line = layer.withColumn("_x", F.col("cx") + right / 2)
+    texts = s.select(*keys, F.col("x0").alias("_x"), "cy", "ord", "span_id", "text")
+    hit = box_join(line, texts, keys, right / 2, 4.0, x="_x", condition=(F.col("r__x") > F.col("cx")) & (F.col("r__x") - F.col("cx") < right) & (F.abs(F.col("r_cy") - F.col("cy")) < 4))
+    word = hit.groupBy(*keys, "layer_id").agg(F.min_by("r_text", F.struct("r_ord", "r_span_id")).alias("material"))
+    layer = layer.join(word, [*keys, "layer_id"], "left").withColumn("material", F.coalesce("material", F.lit("")))
+    own = box_join(head, layer, keys, column, height, condition=(
+        (F.abs(F.col("r_cx") - F.col("cx")) < column) & (F.col("r_cy") > F.col("cy")) & (F.col("r_cy") < F.col("_end"))))
+    own = own.withColumn("_k", material_class(F.col("r_material")))
+    bears = F.col("_k").isin("beton", "mauerwerk", "holz")
+    best = F.min_by(F.struct(F.col("r_mm").alias("mm"), F.col("r_material").alias("m"), F.col("_k").alias("k")), F.when(bears, F.struct(-F.col("r_mm"), "r_cy", "r__o", "r_layer_id")))
+    t = own.groupBy(*keys, "code", "span_id", "ord", "rest").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("r_mm") / 10.0, 1).alias("dicke_cm"), best.alias("_b"), F.bool_or(F.col("_k") == "trockenbau").alias("_dry"))
+    t = t.filter("n >= 2")
+    cls = F.coalesce(F.col("_b.k"), F.when(F.coalesce("_dry", F.lit(False)), "trockenbau"), material_class(F.col("rest")))
+    t = t.select(*keys, "code", "span_id", "ord", "n", "dicke_cm", cls.alias("materialklasse"), F.col("_b.mm").alias("tragend_mm"), F.col("_b.m").alias("tragend_material"))
+    cols = [c for c in t.columns if c not in (*keys, "code")]
+    one = t.groupBy(*keys, "code").agg(F.min_by(F.struct(*cols), F.struct("ord", "span_id")).alias("_t"))
+    return one.select(*keys, "code", "_t.*").drop("ord")
+
+
+# --- filled bodies ----------------------------------------------------------------
+
+
+def filled_walls(rects: DataFrame, ptm: float, thick_cm: tuple[float, float] = (8.0, 55.0), layer_cm: float = 2.0, layer_m: float = 0.4,
+                 min_len_m: float = 0.5, gap_cm: float = 2.0, share: float = 0.5) -> DataFrame:
+    """Walls drawn as stacked filled rectangles: ``plan_id, seite, achse, pos, lo, hi, dicke``, the middle and the full span.
+
+    Rectangles of a direction whose sides are at most ``gap_cm`` apart, and that share at least ``share`` of the shorter
+    one's length, are one body with the box around them; boxes merge on until none touch.  They meet in the cells
+    that they cover, as components, so a stack of any height takes rounds by the logarithm.  ``rects`` has ``x0, y0, x1, y1,
+    fill`` (1 is white, which is background; null is no fill).
+    """
+    cm = ptm / 100.0
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    hor = w >= h
+    r = rects.filter((F.col("fill") < 1.0) & (F.least(w, h) / cm).between(layer_cm, thick_cm[1]) & (F.greatest(w, h) / ptm >= layer_m))
+    r = r.select(
+        *PAGE, F.when(hor, "h").otherwise("v").alias("achse"), F.when(hor, F.col("y0")).otherwise(F.col("x0")).alias("c0"),
+        F.when(hor, F.col("y1")).otherwise(F.col("x1")).alias("c1"), F.when(hor, F.col("x0")).otherwise(F.col("y0")).alias("lo"),
+        F.when(hor, F.col("x1")).otherwise(F.col("y1")).alias("hi")).distinct()
+    key, gap = [*PAGE, "achse"], gap_cm * cm
+    cross, along = thick_cm[1] * cm, 4.0 * ptm
+    n = -1
+    while True:
+        r = cut(r.withColumn("_id", F.concat_ws("|", *[F.col(c).cast("string") for c in (*key, "c0", "c1", "lo", "hi")])))
+        last, n = n, r.count()
+        if n == last:
+            break
+        cell = r.withColumn("_gx", F.explode(F.sequence(F.floor((F.col("c0") - gap) / cross), F.floor((F.col("c1") + gap) / cross))))
+        cell = cell.withColumn("_gy", F.explode(F.sequence(F.floor(F.col("lo") / along), F.floor(F.col("hi") / along))))
+        other = cell.select(*key, "_gx", "_gy", *[F.col(c).alias("r_" + c) for c in ("_id", "c0", "c1", "lo", "hi")])
+        apart = F.greatest("c0", "r_c0") - F.least("c1", "r_c1")
+        shared = F.least("hi", "r_hi") - F.greatest("lo", "r_lo")
+        short = F.least(F.col("hi") - F.col("lo"), F.col("r_hi") - F.col("r_lo"))
+        edge = cell.join(other, [*key, "_gx", "_gy"]).filter((F.col("_id") < F.col("r__id")) & (apart <= gap) & (short > 0) & (shared >= share * short))
+        comp = connected_components(edge.select("_id", F.col("r__id").alias("dst")).distinct(), "_id", "dst")
+        r = r.join(comp, r["_id"] == comp["node"], "left").groupBy(*key, F.coalesce("component", "_id").alias("_g")).agg(
+            F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_g")
+    thick = F.col("c1") - F.col("c0")
+    return r.filter((thick / cm).between(*thick_cm) & ((F.col("hi") - F.col("lo")) / ptm >= min_len_m)).select(
+        *key, ((F.col("c0") + F.col("c1")) / 2.0).alias("pos"), "lo", "hi", thick.alias("dicke"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import alnum_key, name_key, zero_to_null
 from ..operators.ordering import running_number
+from ..session import cut
 
 # --- fixed values -----------------------------------------------------------------
 OPEN_ROOF_WORDS = [
@@ -354,9 +357,34 @@ def perimeter_lookup(rooms: DataFrame, measured: DataFrame) -> DataFrame:
     return g.select("room_id", "n", F.when(F.col("n") == 1, F.col("u")).alias("umfang_m"))
 
 
-def remap_copy(df: DataFrame, mapping: DataFrame, key: str = "projekt_id") -> DataFrame:
-    """Rows of mapped keys copied under their new key (``mapping(old, new)``)."""
-    return df.join(mapping, df[key] == mapping["old"]).withColumn(key, F.col("new")).drop("old", "new")
+def copy_subtree(tables: list[tuple[str, DataFrame, str, dict[str, str]]], roots: DataFrame, root: str, tag: str, shift: int) -> dict[str, DataFrame]:
+    """Copies of the rows below ``roots`` in all ``tables``, each with new ids and references.
+
+    ``tables`` are ``(name, rows, id column, {reference column: table it points to})``, parents first; ``root`` is the name
+    that references to the roots use, and ``roots`` has their ``id``.  A row is copied if a reference of it
+    points to a copied row or root.  A new id follows from the old one, so a repeated copy gives the same ids: numbers
+    move by ``shift``, which must be larger than any of them, and strings get ``~tag``.  References to rows
+    that are not copied become null.  Returns the copies by name, each with ``alt_id``.
+    """
+    def new_id(c: Column, kind: str) -> Column:
+        return F.concat(c, F.lit(f"~{tag}")) if kind == "string" else c + F.lit(shift)
+
+    def mapping(df: DataFrame, col: str) -> DataFrame:
+        kind = df.schema[col].dataType.simpleString()
+        return df.select(F.col(col).alias("_old"), new_id(F.col(col), kind).alias("_new")).filter("_old is not null").distinct()
+
+    maps, out = {root: mapping(roots, "id")}, {}
+    for name, rows, id_col, refs in tables:
+        d = rows
+        for i, (col, parent) in enumerate(refs.items()):
+            m = maps[parent].select(F.col("_old").alias(col), F.col("_new").alias(f"_ref{i}"))
+            d = d.join(m, col, "left")
+        d = d.filter(reduce(lambda a, b: a | b, (F.col(f"_ref{i}").isNotNull() for i in range(len(refs)))))
+        maps[name] = cut(mapping(d, id_col))
+        kind = rows.schema[id_col].dataType.simpleString()
+        cols = [new_id(F.col(c), kind).alias(c) if c == id_col else F.col(f"_ref{list(refs).index(c)}").alias(c) if c in refs else F.col(c) for c in rows.columns]
+        out[name] = d.select(*cols, F.col(id_col).alias("alt_id"))
+    return out
 
 
 def area_overrides(rooms: DataFrame, overrides: DataFrame) -> DataFrame:

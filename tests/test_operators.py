@@ -159,3 +159,68 @@ def test_greedy_leaders(spark):
             kept.append(n)
     got = greedy_leaders(spark.createDataFrame(nodes, "id string, r int"), spark.createDataFrame(pairs, "a string, b string"), "id", "r")
     assert {r.id: r.leader for r in got.collect()} == want
+
+
+def test_wide_order_stats(spark):
+    """Groups of very many distinct values, one with most of all rows, a skewed one and a null."""
+    import random
+
+    from qtospark.operators.ordering import order_stats, wide_order_stats
+
+    rng = random.Random(8)
+    rows = [("a", rng.random()) for _ in range(4000)] + [("b", rng.random() ** 40 * 1e9) for _ in range(700)]
+    rows += [("c", 1.5)] * 300 + [("c", 2.5), ("d", None), ("e", 7.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    picks = {"m": "median", "up": "upper", "lo": "lower", "q1": "q1", "q3": "q3", "p2": "p2", "p98": "p98", "n": "n"}
+    got = {tuple(r) for r in wide_order_stats(df, ["k"], "v", picks, ranges=32).collect()}
+    assert got == {tuple(r) for r in order_stats(df, ["k"], "v", picks).collect() if r["n"]} and len(got) == 4
+    s = sorted(v for _, v in rows if v is not None)
+    one = wide_order_stats(df, [], "v", {"m": "median", "n": "n"}, ranges=32).collect()
+    assert [tuple(r) for r in one] == [((s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2, len(s))]
+
+
+def test_reference_rows_span_blocks(spark):
+    """Segments of lines that cross the blocks of the running number."""
+    from qtospark.plans.calibration import parse_reference_lists, reference_rows
+
+    text = "Titel:\nMauer\n\nHLZ 25\n# Notiz\n12,5 m²\nDecke;3,5;m³\nlose\nAbschnitt:\nBeton C25 ..... 7 m³\nRest\nmehr\n9 Stk\n4 Stk\nEnde"
+    want = {("Mauer HLZ 25", 12.5, "m²"), ("Decke", 3.5, "m³"), ("Beton C25 .....", 7.0, "m³"), ("Rest mehr", 9.0, "stk")}
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "nur Text")], "list_id int, text string")
+    assert {tuple(r)[1:] for r in parse_reference_lists(df).collect()} == want
+    lines = spark.createDataFrame([(1, i, z) for i, z in enumerate(text.split("\n"))], "list_id int, nr int, zeile string")
+    for block in (1, 2, 5):
+        assert {tuple(r)[1:] for r in reference_rows(lines, block=block).collect()} == want
+
+
+def test_nearest_without_limit(spark):
+    """Far clusters, crowds and ties; every row finds what a look at all points finds."""
+    import math
+    import random
+
+    from qtospark.operators.spatial import nearest
+
+    rng = random.Random(9)
+    left = [(g, f"l{g}{i:03}", rng.uniform(-9e4, 9e4), rng.choice([0.0, 5e4]) + rng.uniform(-300, 300)) for g in (1, 2, 3) for i in range(40)]
+    right = [(g, f"r{g}{i:03}", float(cx + rng.randint(-40, 40)), float(cy + rng.randint(-40, 40))) for g, cx, cy in ((1, 0, 0), (1, -50_000, 20_000), (2, 70_000, 30_000)) for i in range(60)]
+    a = spark.createDataFrame(left, "g int, l string, cx double, cy double")
+    b = spark.createDataFrame(right, "g int, r string, cx double, cy double")
+    got = {r["l"]: (r["r"], r["dist"]) for r in nearest(a, b, ["g"], "l", "r").collect()}
+    for g, i, x, y in left:
+        near = min(((math.sqrt((x - p[2]) ** 2 + (y - p[3]) ** 2), p[1]) for p in right if p[0] == g), default=None)
+        assert (i in got) == (near is not None)
+        if near:
+            assert abs(got[i][1] - near[0]) < 1e-6 and (got[i][0] == near[1] or abs(near[0] - got[i][1]) < 1e-9)
+
+
+def test_copy_subtree(spark):
+    from qtospark.plans.merge import copy_subtree
+
+    roots = spark.createDataFrame([(1,), (1,)], "id long")
+    plans = spark.createDataFrame([(10, 1), (11, 2), (12, None)], "plan_id long, p long")
+    rooms = spark.createDataFrame([("a", 1, 10, "x"), ("b", 1, 11, "y"), ("c", 2, 11, "z"), ("d", None, 10, None)], "room string, p long, plan_id long, name string")
+    openings = spark.createDataFrame([("o1", "a"), ("o2", "c"), ("o3", "d"), ("o4", None)], "o string, room string")
+    made = copy_subtree([("plans", plans, "plan_id", {"p": "roots"}), ("rooms", rooms, "room", {"p": "roots", "plan_id": "plans"}),
+                         ("openings", openings, "o", {"room": "rooms"})], roots, "roots", "k", 100)
+    assert {tuple(r) for r in made["plans"].collect()} == {(110, 101, 10)}
+    assert {tuple(r) for r in made["rooms"].collect()} == {("a~k", 101, 110, "x", "a"), ("b~k", 101, None, "y", "b"), ("d~k", None, 110, None, "d")}
+    assert {tuple(r) for r in made["openings"].collect()} == {("o1~k", "a~k", "o1"), ("o3~k", "d~k", "o3")}
