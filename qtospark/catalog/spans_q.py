@@ -6,7 +6,6 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..functions.numbers import chain_value_cm
 from ..operators.matching import greedy_nearest
 from ..operators.ordering import order_stats
 from ..plans import spans as S
@@ -148,13 +147,17 @@ def verified_near_label(t: Tables):
     return box_join(lab, v, S.PAGE, 300.0, how="left_semi", condition=F.abs(F.col("r_wert") - F.col("f")) <= 0.02 * F.col("f")).select("span_id")
 
 
-DIM = ", dim AS (SELECT span_id, plan_id, seite, x0 AS x, y0 AS y, CAST(text AS DOUBLE) AS cm FROM spans WHERE art='mass' AND regexp_full_match(text, '\\d{1,4}') AND CAST(text AS DOUBLE) BETWEEN 5 AND 1500)"
+DIM = """
+, dall AS (SELECT span_id, plan_id, seite, x0 AS x, y0 AS y, trim(text) AS t FROM spans WHERE regexp_full_match(trim(text), '\\d{1,4}(,\\d)?|\\d{1,2}[.,]\\d{1,2}'))
+, dnum AS (SELECT *, CAST(replace(t, ',', '.') AS DOUBLE) AS v, regexp_full_match(t, '\\d{1,4}(,\\d)?') AS c, regexp_full_match(t, '\\d{1,2}[.,]\\d{1,2}') AS m FROM dall)
+, dcm AS (SELECT span_id, plan_id, seite, x, y, v AS cm FROM dnum WHERE c AND v BETWEEN 5 AND 1500)
+, dch AS (SELECT plan_id FROM (SELECT plan_id, seite, 'h' AS achse, round_even(y/6.0,0) AS lage, cm FROM dcm UNION ALL SELECT plan_id, seite, 'v', round_even(x/6.0,0), cm FROM dcm) GROUP BY plan_id, seite, achse, lage HAVING count(*) >= 2 AND sum(cm) BETWEEN 300 AND 6000)
+, dim AS (SELECT * FROM dcm UNION ALL SELECT span_id, plan_id, seite, x, y, v*100.0::DOUBLE FROM dnum WHERE m AND v BETWEEN 0.3 AND 15 AND plan_id NOT IN (SELECT plan_id FROM dch))
+"""
 
 
 def dims(t: Tables):
-    cm = chain_value_cm(F.col("text"))
-    s = adapters.spans(t.spark, t.sf_dir, ["mass"]).filter(F.col("text").rlike(r"^\d{1,4}$"))
-    return s.select("span_id", "plan_id", "seite", F.col("x0").alias("x"), F.col("y0").alias("y"), cm.alias("cm")).filter("cm is not null")
+    return S.dimensions(t.spans)
 
 
 CHAIN = DIM + """
@@ -162,9 +165,9 @@ CHAIN = DIM + """
 """
 
 
-@query("chain_sums", "A24 F23 U1", CHAIN + "SELECT plan_id, seite, achse, lage, n, summe FROM ch", "spans")
+@query("chain_sums", "A24 F23 U1", CHAIN + "SELECT plan_id, seite, achse, lage, n, round(summe, 4) AS summe FROM ch", "spans")
 def chain_sums(t: Tables):
-    return S.chain_sums(dims(t))
+    return S.chain_sums(dims(t)).withColumn("summe", F.round("summe", 4))
 
 
 @query("hull_from_chains", "A25", CHAIN + """
@@ -206,9 +209,9 @@ def dominant_scale(t: Tables):
 @query("split_chains", "W2", DIM + """
 , d AS (SELECT *, round_even(y/6.0,0)*6.0 AS lage FROM dim), l AS (SELECT *, (lag(cm) OVER w + cm)/2*0.2835 AS e, x - lag(x) OVER w AS gap FROM d WINDOW w AS (PARTITION BY plan_id, seite, lage ORDER BY x, span_id))
 , b AS (SELECT *, sum(CASE WHEN gap IS NULL OR abs(gap-e) > 0.3*e + 20*0.2835 THEN 1 ELSE 0 END) OVER (PARTITION BY plan_id, seite, lage ORDER BY x, span_id) AS teil FROM l)
- SELECT plan_id, seite, lage, teil::BIGINT AS teil, count(*) AS n, sum(cm) AS summe, min(x) AS x0 FROM b GROUP BY 1,2,3,4 HAVING count(*) >= 2""", "spans")
+ SELECT plan_id, seite, lage, teil::BIGINT AS teil, count(*) AS n, round(sum(cm), 4) AS summe, min(x) AS x0 FROM b GROUP BY 1,2,3,4 HAVING count(*) >= 2""", "spans")
 def split_chains(t: Tables):
-    return S.split_chains(dims(t), 28.35)
+    return S.split_chains(dims(t), 28.35).withColumn("summe", F.round("summe", 4))
 
 
 FACES = """
@@ -391,22 +394,22 @@ def hatch_density(t: Tables):
 
 
 @query("side_confirmation", "J24", DIM + """
-, r AS (SELECT room_id, projekt_id AS plan_id, cx, cy, (umfang_m/2 + sqrt((umfang_m/2)*(umfang_m/2) - 4.0*flaeche_m2))/2 AS a, (umfang_m/2 - sqrt((umfang_m/2)*(umfang_m/2) - 4.0*flaeche_m2))/2 AS b FROM rooms WHERE flaeche_m2 > 0 AND umfang_m > 0 AND (umfang_m/2)*(umfang_m/2) - 4.0*flaeche_m2 >= 0)
-, g AS (SELECT room_id, bool_or(abs(a*100-cm) <= 5) AS x, bool_or(abs(b*100-cm) <= 5) AS y FROM r JOIN dim d ON d.plan_id = r.plan_id AND abs(d.x-r.cx) <= 150 AND abs(d.y-r.cy) <= 150 GROUP BY 1)
+, r AS (SELECT room_id, projekt_id AS plan_id, seite, cx, cy, (umfang_m/2 + sqrt((umfang_m/2)*(umfang_m/2) - 4.0*flaeche_m2))/2 AS a, (umfang_m/2 - sqrt((umfang_m/2)*(umfang_m/2) - 4.0*flaeche_m2))/2 AS b FROM rooms WHERE flaeche_m2 > 0 AND umfang_m > 0 AND (umfang_m/2)*(umfang_m/2) - 4.0*flaeche_m2 >= 0)
+, g AS (SELECT room_id, bool_or(abs(a*100-cm) <= 5) AS x, bool_or(abs(b*100-cm) <= 5) AS y FROM r JOIN dim d ON d.plan_id = r.plan_id AND d.seite = r.seite AND abs(d.x-r.cx) <= 150 AND abs(d.y-r.cy) <= 150 GROUP BY 1)
  SELECT room_id, CASE WHEN x AND y THEN 'hoch' WHEN x OR y THEN 'mittel' ELSE 'niedrig' END AS stufe FROM r LEFT JOIN g USING (room_id)""", "spans rooms")
 def side_confirmation(t: Tables):
     from ..functions.geometry import rectangle_from_area
 
-    r = t.rooms.select("room_id", F.col("projekt_id").alias("plan_id"), "cx", "cy", rectangle_from_area(F.col("flaeche_m2"), F.col("umfang_m")).alias("q")).filter("q is not null")
-    return S.confirm_sides(r.select("room_id", "plan_id", "cx", "cy", "q.a", "q.b"), dims(t))
+    r = t.rooms.select("room_id", F.col("projekt_id").alias("plan_id"), "seite", "cx", "cy", rectangle_from_area(F.col("flaeche_m2"), F.col("umfang_m")).alias("q")).filter("q is not null")
+    return S.confirm_sides(r.select("room_id", *S.PAGE, "cx", "cy", "q.a", "q.b"), dims(t))
 
 
 @query("wall_dimension_snap", "J40", FACES + DIM.replace(", dim AS", ", dim AS") + """
-, w AS (SELECT plan_id || ':' || achse || ':' || pos || ':' || lo AS wand_id, plan_id, CASE WHEN achse='h' THEN (lo+hi)/2 ELSE pos END AS cx, CASE WHEN achse='h' THEN pos ELSE (lo+hi)/2 END AS cy, (hi-lo)*3.0 AS m FROM fc)
-, b AS (SELECT wand_id, arg_min(cm, (abs(cm-m), cm)) AS d FROM w JOIN dim d ON d.plan_id = w.plan_id AND abs(d.x-w.cx) <= 60 AND abs(d.y-w.cy) <= 60 AND abs(cm-m) <= greatest(8.0, 0.04*m) GROUP BY 1)
+, w AS (SELECT plan_id || ':' || achse || ':' || pos || ':' || lo AS wand_id, plan_id, seite, CASE WHEN achse='h' THEN (lo+hi)/2 ELSE pos END AS cx, CASE WHEN achse='h' THEN pos ELSE (lo+hi)/2 END AS cy, (hi-lo)*3.0 AS m FROM fc)
+, b AS (SELECT wand_id, arg_min(cm, (abs(cm-m), cm)) AS d FROM w JOIN dim d ON d.plan_id = w.plan_id AND d.seite = w.seite AND abs(d.x-w.cx) <= 60 AND abs(d.y-w.cy) <= 60 AND abs(cm-m) <= greatest(8.0, 0.04*m) GROUP BY 1)
  SELECT wand_id, coalesce(d, m) AS cm, d IS NOT NULL AS gedruckt FROM w LEFT JOIN b USING (wand_id)""", "spans segments")
 def wall_dimension_snap(t: Tables):
     hor = F.col("achse") == "h"
     mid = (F.col("lo") + F.col("hi")) / 2
-    w = _walls(t).select("wand_id", "plan_id", F.when(hor, mid).otherwise(F.col("pos")).alias("cx"), F.when(hor, F.col("pos")).otherwise(mid).alias("cy"), ((F.col("hi") - F.col("lo")) * 3.0).alias("cm_gemessen"))
+    w = _walls(t).select("wand_id", *S.PAGE, F.when(hor, mid).otherwise(F.col("pos")).alias("cx"), F.when(hor, F.col("pos")).otherwise(mid).alias("cy"), ((F.col("hi") - F.col("lo")) * 3.0).alias("cm_gemessen"))
     return S.snap_to_dimension(w, dims(t))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import chain_value_cm, chain_value_m
 from ..functions.text import category_exact
 from ..operators.ordering import order_stats, running_sum
 from ..operators.spatial import box_join, distance, nearest
@@ -181,6 +182,19 @@ def text_evidence(rooms: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 # --- dimension chains ---------------------------------------------------------------
+def dimensions(spans: DataFrame) -> DataFrame:
+    """Printed dimensions in centimetres: ``span_id, plan_id, seite, x, y, cm``.
+
+    Whole and half centimetres first.  Only plans without a chain of these are read again with metres, since
+    metres read along with them make chains of heights.
+    """
+    t = spans.select("span_id", *PAGE, F.col("x0").alias("x"), F.col("y0").alias("y"), chain_value_cm(F.col("text")).alias("cm"), chain_value_m(F.col("text")).alias("_m"))
+    t = cut(t.filter("cm is not null or _m is not null"))
+    whole = t.filter("cm is not null").drop("_m")
+    metres = t.filter("_m is not null").withColumn("cm", F.col("_m")).drop("_m")
+    return whole.unionByName(metres.join(chain_sums(whole).select("plan_id").distinct(), "plan_id", "left_anti").select(*whole.columns))
+
+
 def chain_sums(dims: DataFrame, tol: float = 6.0) -> DataFrame:
     """Chains along an axis bucket with at least two items and a total of 3 to 60 m."""
     arms = []
@@ -393,8 +407,8 @@ def band_density(pairs: DataFrame, points: DataFrame, cell: float = 25.0) -> Dat
 
 def confirm_sides(rooms: DataFrame, dims: DataFrame, reach: float = 150.0, tol_cm: float = 5.0) -> DataFrame:
     """Room sides found among printed dimensions near the room: both high, one medium, none low."""
-    d = dims.select("plan_id", F.col("x").alias("cx"), F.col("y").alias("cy"), "cm").distinct()
-    j = box_join(rooms, d, ["plan_id"], reach)
+    d = dims.select(*PAGE, F.col("x").alias("cx"), F.col("y").alias("cy"), "cm").distinct()
+    j = box_join(rooms, d, PAGE, reach)
     g = j.groupBy("room_id").agg(
         F.bool_or(F.abs(F.col("a") * 100 - F.col("r_cm")) <= tol_cm).alias("a_ok"), F.bool_or(F.abs(F.col("b") * 100 - F.col("r_cm")) <= tol_cm).alias("b_ok"))
     n = F.coalesce(F.col("a_ok").cast("int"), F.lit(0)) + F.coalesce(F.col("b_ok").cast("int"), F.lit(0))
@@ -404,8 +418,8 @@ def confirm_sides(rooms: DataFrame, dims: DataFrame, reach: float = 150.0, tol_c
 
 def snap_to_dimension(walls: DataFrame, dims: DataFrame, reach: float = 60.0) -> DataFrame:
     """Printed dimension that fits a wall's length (8 cm or 4 %) near its middle, else the measured length."""
-    d = dims.select("plan_id", F.col("x").alias("cx"), F.col("y").alias("cy"), "cm").distinct()
-    j = box_join(walls, d, ["plan_id"], reach)
+    d = dims.select(*PAGE, F.col("x").alias("cx"), F.col("y").alias("cy"), "cm").distinct()
+    j = box_join(walls, d, PAGE, reach)
     off = F.abs(F.col("r_cm") - F.col("cm_gemessen"))
     fit = j.filter(off <= F.greatest(F.lit(8.0), 0.04 * F.col("cm_gemessen")))
     best = fit.groupBy("wand_id").agg(F.min_by("r_cm", F.struct(off, F.col("r_cm"))).alias("_d"))
