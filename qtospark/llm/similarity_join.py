@@ -168,9 +168,14 @@ class JaccardJoin:
         """``doc_id, n_shingles, component_id`` of every row."""
         put, size = self.store.put, self.size
         t = put(self.docs.mapInArrow(_profile(size, REGION), "doc_id long, n long, cid long, gid long, prefix array<long>"))
-        t_ids = t.filter("n > 0").select("doc_id", "n", "cid", "gid")
+        ids = put(t.select("doc_id", "n", "cid", "gid"))
+        t_ids = ids.filter("n > 0")
+        # of a repeated id all texts are read; where there is none, what is read needs no comparison with the rest
+        repeated = not ids.groupBy("doc_id").count().filter("count > 1").isEmpty()
+        once = lambda df, key: df.dropDuplicates([key]) if repeated else df
         reps = t.filter("n > 0").groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
         reps = put(reps)
+        self.store.drop(t)
         post, hot = self._postings(reps)
         info = put(reps.select("gid", "n", F.size("prefix").alias("r")).join(hot, "gid", "left").fillna(0, ["hot"]))
         side = lambda s: info.select(F.col("gid").alias(f"g{s}"), F.col("r").alias(f"r{s}"), F.col("hot").alias(f"h{s}"))
@@ -183,7 +188,7 @@ class JaccardJoin:
         members = put(t_ids.groupBy("gid", "cid", "n").agg(F.min("doc_id").alias("doc_id")))
         short = put(members.join(info.filter(F.col("r") - F.col("hot") < least).select("gid", "r", "hot"), "gid"))
         # the second part of the order, for every set of the groups with too few uncommon shingles in the first
-        more = put(self._texts(short.select("doc_id", "cid"), "cid").mapInArrow(_rest(size, REGION), "gid long, n long, prefix array<long>").dropDuplicates(["gid"]))
+        more = put(once(self._texts(short.select("doc_id", "cid"), "cid").mapInArrow(_rest(size, REGION), "gid long, n long, prefix array<long>"), "gid"))
         post2, hot2 = self._postings(more)
         short = put(short.join(hot2.select(F.col("gid").alias("cid"), F.col("hot").alias("hot2")), "cid", "left").fillna(0, ["hot2"]))
         side2 = lambda s: short.select(F.col("cid").alias(f"g{s}"), F.col("r").alias(f"r{s}"), F.col("hot2").alias(f"h{s}"))
@@ -207,10 +212,10 @@ class JaccardJoin:
         entries = entries.unionByName(pairs2.select(F.xxhash64(F.lit("s"), "ga", "gb").alias("list"), score, both))
         entries = put(entries.unionByName(lists.select(F.xxhash64(F.lit("h"), "h").alias("list"), F.lit(1.0).alias("score"), "cid", "n")))
         used = entries.select("cid").distinct().join(t_ids.groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "cid")
-        sets = put(self._texts(used.select("doc_id", "cid"), "cid").mapInArrow(_whole(size), "cid long, s binary").dropDuplicates(["cid"]))
-        self.store.drop(post, post2, reps, more)
+        sets = put(once(self._texts(used.select("doc_id", "cid"), "cid").mapInArrow(_whole(size), "cid long, s binary"), "cid"))
+        self.store.drop(post, post2, reps, more, info, members, short)
         comp = self._settle(entries, sets)
-        roots = t.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left")
+        roots = ids.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left")
         roots = roots.withColumn("_root", F.coalesce("component", "cid"))
         least_id = roots.filter("_root IS NOT NULL").groupBy("_root").agg(F.min("doc_id").alias("_least"))
         return roots.join(least_id, "_root", "left").select(
@@ -245,7 +250,7 @@ class JaccardJoin:
             seen = both.mapInArrow(_overlap, "x long, y long, nx long, ny long, common long")
             c = F.col("common")
             seen = put(seen.select("x", "y", (c * self.den >= (F.col("nx") + F.col("ny") - c) * self.num).alias("ok")))
-            tested = put(tested.unionByName(seen))
+            tested = tested.unionByName(seen)
             known = comp.select(F.col("node").alias("x"), F.col("component").alias("y"))
             comp = components(self.store, known.unionByName(seen.filter("ok").select("x", "y")), "x", "y")
             left = lab.drop("component").join(live, "list", "left_semi")
