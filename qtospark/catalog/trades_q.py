@@ -232,10 +232,10 @@ def schedule_summary(t: Tables):
         F.round(F.sum("laibung_m2"), 4).alias("laibung_m2"))
 
 
-@query("crosstab_cells", "A45 F7", lines_sql(["putz", "estrich", "fliesen"]) + """
+@query("crosstab_cells", "A45 F7", lines_sql(ALL) + """
  SELECT projekt_id, rkey, gewerk || '::' || posnr AS skey, round(sum(wert), 3) AS menge FROM lines WHERE rkey IS NOT NULL GROUP BY ALL HAVING abs(sum(wert)) >= 0.005""", "rooms openings building")
 def crosstab_cells(t: Tables):
-    cells, _ = T.crosstab(_lines(t, ["putz", "estrich", "fliesen"]))
+    cells, _ = T.crosstab(_lines(t, ALL))
     return cells.withColumn("menge", F.round("menge", 3))
 
 
@@ -248,14 +248,14 @@ def crosstab_wide(t: Tables):
     return w.select("projekt_id", "rkey", F.round("`estrich::1.1`", 3).alias("flaeche"), F.round("`estrich::1.2`", 3).alias("rand"))
 
 
-@query("crosstab_coverage", "A45", lines_sql(["putz", "estrich", "fliesen"]) + """
+@query("crosstab_coverage", "A45", lines_sql(ALL) + """
 , c AS (SELECT projekt_id, rkey, gewerk, posnr, sum(wert) AS m FROM lines WHERE rkey IS NOT NULL GROUP BY ALL)
 , v AS (SELECT projekt_id, sum(abs(m)) AS verankert FROM c GROUP BY 1)
 , w AS (SELECT projekt_id, sum(abs(wert)) AS frei FROM lines WHERE rkey IS NULL GROUP BY 1)
  SELECT projekt_id, round(coalesce(verankert,0), 3) AS verankert, round(coalesce(frei,0), 3) AS frei,
   round(coalesce(verankert,0) / (coalesce(verankert,0)+coalesce(frei,0)) * 100, 5) AS deckung_pct FROM v FULL JOIN w USING (projekt_id)""", "rooms openings building")
 def crosstab_coverage(t: Tables):
-    _, cover = T.crosstab(_lines(t, ["putz", "estrich", "fliesen"]))
+    _, cover = T.crosstab(_lines(t, ALL))
     return cover.select("projekt_id", F.round("verankert", 3).alias("verankert"), F.round("frei", 3).alias("frei"), F.round("deckung_pct", 5).alias("deckung_pct"))
 
 

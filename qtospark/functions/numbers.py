@@ -61,7 +61,8 @@ def finite_quantity(c: Column) -> Column:
 
 
 def german_format(c: Column, digits: int = 2) -> Column:
-    return F.replace(F.format_string(f"%.{digits}f", c), F.lit("."), F.lit(","))
+    """Decimals after a comma; what is rounded is the double itself, not its shortest decimal."""
+    return F.replace(F.call_function("format_number", c, F.lit("0." + "0" * digits if digits else "0")), F.lit("."), F.lit(","))
 
 
 def scale_points_per_m(c: Column) -> Column:
