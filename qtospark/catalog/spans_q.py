@@ -59,7 +59,7 @@ LAB = CLS + ", lab AS (SELECT * FROM cv WHERE klasse = 'raum')"
 , j AS (SELECT l.span_id, v.klasse, v.wert, v.cy-l.cy AS dy, v.cx-l.cx AS dx FROM lab l JOIN cv v USING (plan_id, seite) WHERE v.klasse IN ('flaeche','umfang','hoehe') AND abs(v.cx-l.cx) <= 60 AND v.cy-l.cy BETWEEN -5 AND 60)
  SELECT span_id, arg_min(wert, (dy, dx, wert)) FILTER (WHERE klasse='flaeche') AS flaeche, arg_min(wert, (dy, dx, wert)) FILTER (WHERE klasse='umfang') AS umfang, arg_min(wert, (dy, dx, wert)) FILTER (WHERE klasse='hoehe') AS hoehe FROM j GROUP BY 1""", "spans")
 def label_values(t: Tables):
-    c = cls(t)
+    c = S.cut(cls(t).select("span_id", *S.PAGE, "cx", "cy", "klasse", "wert"))
     return S.label_values(c.filter("klasse = 'raum'"), c)
 
 

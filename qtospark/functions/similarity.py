@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
 from .text import (
     CATEGORY_NAMES,
     FUZZY_MIN_LEN,
@@ -17,13 +18,6 @@ from .text import (
 )
 
 
-@F.pandas_udf(T.DoubleType())
-def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)]
-    )
-
-
 def _closest(name: str) -> str | None:
     parts = [name] + ([name.split()[0]] if " " in name else [])
     parts += [p.strip() for p in name.split("-")] if "-" in name else []
@@ -45,10 +39,11 @@ def fuzzy_category(names: pd.Series) -> pd.Series:
 def with_category(rooms: DataFrame, name: str = "name", out: str = "kategorie") -> DataFrame:
     """Room category: exact catalogue look-up in the JVM, similarity only for the leftovers.
 
-    Names that match exactly reach the Python worker as nulls.  Nothing is shuffled, so a
-    name that a third of all rooms carry is no hot key.
+    Distinct leftover names are scored once and written; their categories join back by name, by
+    broadcast where that table is measured small.  Rows themselves never go through Python.
     """
     exact = category_exact(F.col(name))
-    rooms = rooms.withColumn("_exact", exact)
-    left_over = F.when(F.col("_exact").isNull(), F.col(name))
-    return rooms.withColumn(out, F.coalesce("_exact", fuzzy_category(left_over))).drop("_exact")
+    rest = rooms.filter(F.col(name).isNotNull() & exact.isNull()).select(F.col(name).alias("_name")).distinct()
+    like = cut(rest.withColumn("_like", fuzzy_category("_name")).filter("_like is not null"))
+    j = rooms.join(like, F.col(name) == F.col("_name"), "left")
+    return j.withColumn(out, F.coalesce(exact, F.col("_like"))).drop("_name", "_like")

@@ -236,7 +236,9 @@ def spans(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None) -> D
             )
             structs.append(f"named_struct({parts})")
     used = base(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return used.selectExpr(f"inline(array({', '.join(structs)}))")
+    # dealt out evenly while rows are narrow: each becomes six, which are parsed as text
+    even = used.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return even.selectExpr(f"inline(array({', '.join(structs)}))")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
