@@ -189,7 +189,7 @@ def test_reference_rows_span_blocks(spark):
     assert {tuple(r)[1:] for r in parse_reference_lists(df).collect()} == want
     lines = spark.createDataFrame([(1, i, z) for i, z in enumerate(text.split("\n"))], "list_id int, nr int, zeile string")
     for block in (1, 2, 5):
-        assert {tuple(r)[1:] for r in reference_rows(lines, block=block).collect()} == want
+        assert {tuple(r)[2:] for r in reference_rows(lines, block=block).collect()} == want
 
 
 def test_nearest_without_limit(spark):
