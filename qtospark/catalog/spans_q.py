@@ -30,6 +30,11 @@ def cls(t: Tables):
     return S.classify(S.ingest(t.spans))
 
 
+def picked(t: Tables, *kinds: str, more: tuple[str, ...] = ()):
+    """Spans of these classes, classified once and written narrow: queries read them several times."""
+    return S.cut(cls(t).filter(F.col("klasse").isin(*kinds)).select("span_id", *S.PAGE, "cx", "cy", "klasse", "wert", *more))
+
+
 @query("span_classes", "P8 S4 P9", CLS + "SELECT span_id, klasse, wert FROM cv", "spans")
 def span_classes(t: Tables):
     return cls(t).select("span_id", "klasse", "wert")
@@ -66,14 +71,14 @@ def label_values(t: Tables):
 @query("value_beside", "J8", LAB + """
  SELECT l.span_id, arg_min(v.span_id, (v.cx-l.cx, v.span_id)) AS wert_id FROM lab l JOIN cv v USING (plan_id, seite) WHERE v.klasse='mass' AND abs(v.cy-l.cy) <= 6 AND v.cx-l.cx > 0 AND v.cx-l.cx <= 90 GROUP BY 1""", "spans")
 def value_beside(t: Tables):
-    c = cls(t)
+    c = picked(t, "raum", "mass")
     return S.value_beside(c.filter("klasse = 'raum'"), c.filter("klasse = 'mass'"))
 
 
 @query("value_above", "J8", LAB + """
  SELECT l.span_id, arg_min(v.span_id, (l.cy-v.cy, v.span_id)) AS wert_id FROM lab l JOIN cv v USING (plan_id, seite) WHERE v.klasse='mass' AND abs(v.cx-l.cx) <= 6 AND l.cy-v.cy > 0 AND l.cy-v.cy <= 60 GROUP BY 1""", "spans")
 def value_above(t: Tables):
-    c = cls(t)
+    c = picked(t, "raum", "mass")
     return S.value_above(c.filter("klasse = 'raum'"), c.filter("klasse = 'mass'"))
 
 
@@ -82,13 +87,13 @@ def value_above(t: Tables):
 , n AS (SELECT l.span_id, t.text, sqrt((l.cx-t.cx)*(l.cx-t.cx)+(l.cy-t.cy)*(l.cy-t.cy)) AS d FROM lab l JOIN tops t USING (plan_id, seite) QUALIFY row_number() OVER (PARTITION BY l.span_id ORDER BY d, t.span_id) = 1)
  SELECT l.span_id, CASE WHEN k IS NULL THEN 'Haus' WHEN k <= 1 OR d < 500 THEN n.text END AS wohnung FROM lab l LEFT JOIN k USING (plan_id, seite) LEFT JOIN n USING (span_id)""", "spans")
 def flat_assignment(t: Tables):
-    c = cls(t)
+    c = picked(t, "raum", "wohnung", more=("text",))
     return S.assign_flats(c.filter("klasse = 'raum'"), c.filter("klasse = 'wohnung'"))
 
 
 @query("greedy_claim_fill", "J9")
 def greedy_claim_fill(t: Tables):
-    c = cls(t)
+    c = picked(t, "raum", "mass")
     rooms = c.filter("klasse = 'raum'")
     claims = c.filter("klasse = 'mass'").withColumnRenamed("span_id", "claim_id")
     return greedy_nearest(rooms, claims, S.PAGE, "span_id", "claim_id", 150.0)
@@ -116,7 +121,7 @@ def opening_assembly(t: Tables):
 @query("lintel_only_doors", "J12", CLS + """SELECT span_id, wert FROM cv s WHERE klasse='sturz' AND wert BETWEEN 1.7 AND 3.2 AND NOT EXISTS (SELECT 1 FROM cv p WHERE p.klasse='parapet' AND p.plan_id = s.plan_id AND p.seite = s.seite
   AND sqrt((s.cx-p.cx)*(s.cx-p.cx)+(s.cy-p.cy)*(s.cy-p.cy)) < 52.5)""", "spans")
 def lintel_only_doors(t: Tables):
-    return S.lintel_only(cls(t)).select("span_id", "wert")
+    return S.lintel_only(picked(t, "sturz", "parapet")).select("span_id", "wert")
 
 
 @query("object_counts", "A40")
@@ -141,7 +146,7 @@ def text_evidence(t: Tables):
 def verified_near_label(t: Tables):
     from ..operators.spatial import box_join
 
-    c = cls(t)
+    c = picked(t, "raum", "flaeche", more=("ord",))
     lab = c.filter("klasse = 'raum'").withColumn("f", F.lit(5.0) + F.col("ord") % 30)
     v = c.filter("klasse = 'flaeche'").select(*S.PAGE, "cx", "cy", "wert").distinct()
     return box_join(lab, v, S.PAGE, 300.0, how="left_semi", condition=F.abs(F.col("r_wert") - F.col("f")) <= 0.02 * F.col("f")).select("span_id")
@@ -381,7 +386,7 @@ def indoor_first_assignment(t: Tables):
 @query("marks_to_levels", "J34", CLS + """
  SELECT m.span_id, arg_min(k.wert, (abs(k.cy-m.cy), k.wert)) AS niveau FROM cv m JOIN cv k USING (plan_id, seite) WHERE m.klasse='wohnung' AND k.klasse='kote' AND abs(k.cy-m.cy) <= 120 GROUP BY 1""", "spans")
 def marks_to_levels(t: Tables):
-    c = cls(t)
+    c = picked(t, "wohnung", "kote")
     return S.marks_to_levels(c.filter("klasse = 'wohnung'"), c.filter("klasse = 'kote'"))
 
 

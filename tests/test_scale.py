@@ -112,3 +112,16 @@ def test_first_characters_of_classes(spark):
     }
     d = S.classify(spark.createDataFrame([(k,) for k in want], "text string"))
     assert {r.text: r.klasse for r in d.select("text", "klasse").collect()} == want
+
+
+def test_tokens_and_labels_are_not_broadcast(spark):
+    rooms = spark.createDataFrame([("r1", 1, "Bad-Wohnung", 2.5), ("r2", 1, "Flur", 3.0)], "room_id string, plan_key long, name string, flaeche_m2 double")
+    spans = spark.createDataFrame([("s1", 1, 1, "Wohnung 3", 0.0, 0.0), ("s2", 1, 2, "TOP 1", 9.0, 9.0)], "span_id string, plan_id long, seite long, text string, cx double, cy double")
+    e = S.text_evidence(rooms, spans)
+    assert [r.room_id for r in e.collect()] == ["r1"]
+    assert "Broadcast" not in e._jdf.queryExecution().executedPlan().toString().replace("BroadcastQueryStage", "Broadcast")
+    labels = spans.filter("text like 'TOP%'")
+    f = S.assign_flats(spans, labels)
+    assert {r.span_id: r.wohnung for r in f.collect()} == {"s1": "Haus", "s2": "TOP 1"}
+    plan = f._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 3
