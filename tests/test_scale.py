@@ -125,3 +125,16 @@ def test_tokens_and_labels_are_not_broadcast(spark):
     assert {r.span_id: r.wohnung for r in f.collect()} == {"s1": "Haus", "s2": "TOP 1"}
     plan = f._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 3
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    import duckdb
+
+    rng = random.Random(1)
+    xs = [sum(round(rng.uniform(-50, 50), 4) for _ in range(12)) for _ in range(3000)] + [80.99849999999999, 32.4145, 177.55349999999999, -1e-14, -0.0004, 0.0]
+    from qtospark.functions.numbers import german_format, sql_round
+
+    d = spark.createDataFrame(list(enumerate(xs)), "i long, x double").withColumn("r", sql_round(F.col("x"), 3))
+    got = [(r.r, r.z) for r in d.select("r", german_format(F.col("r")).alias("z"), "i").orderBy("i").collect()]
+    sql = "select round(x, 3), replace(format('{:.2f}', round(x, 3)), '.', ',') from (select unnest(?::DOUBLE[]) x, generate_subscripts(?::DOUBLE[], 1) i) order by i"
+    assert got == duckdb.connect().execute(sql, [xs, xs]).fetchall()
