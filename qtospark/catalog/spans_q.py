@@ -257,7 +257,8 @@ NW = FACES + """
 
 
 def _walls(t: Tables):
-    f = S.wall_faces(t.segments)
+    # dealt out by line of walls at once: the steps of wall_faces shuffle no more
+    f = S.wall_faces(t.segments.select(*S.SEG, "lo", "hi").repartition(*S.SEG))
     return f.withColumn("wand_id", F.concat_ws(":", F.col("plan_id").cast("string"), "achse", F.col("pos").cast("string"), F.col("lo").cast("string")))
 
 
@@ -269,17 +270,16 @@ def _wall_openings(t: Tables):
 
 @query("opening_walls", "J25 J42", NW + "SELECT opening_id, wand_id, round(dist, 6) AS dist, round(fuss, 6) AS fuss FROM nb", "segments openings")
 def opening_walls(t: Tables):
-    n = S.nearest_wall(_wall_openings(t), _walls(t), 25.0)
+    n = S.nearest_wall(_wall_openings(t), S.cut(_walls(t)), 25.0)
     return n.withColumn("dist", F.round("dist", 6)).withColumn("fuss", F.round("fuss", 6))
 
 
 @query("wall_net_areas", "G11", NW + """, b AS (SELECT wand_id, sum(flaeche) AS o FROM nb WHERE flaeche > 4 GROUP BY 1)
  SELECT wand_id, round((hi-lo)*0.05*2.7, 6) AS brutto, round((hi-lo)*0.05*2.7 - least((hi-lo)*0.05*2.7, coalesce(o,0)), 6) AS netto FROM w LEFT JOIN b USING (wand_id)""", "segments openings")
 def wall_net_areas(t: Tables):
-    o = _wall_openings(t)
-    m = S.nearest_wall(o, _walls(t), 25.0).join(o.select("opening_id", "flaeche"), "opening_id")
-    w = _walls(t).withColumn("laenge_m", (F.col("hi") - F.col("lo")) * 0.05)
-    return S.wall_net(w, m, 2.7).select("wand_id", F.round("brutto", 6).alias("brutto"), F.round("netto", 6).alias("netto"))
+    w = S.cut(_walls(t))
+    m = S.nearest_wall(_wall_openings(t), w, 25.0, ("flaeche",))
+    return S.wall_net(w.withColumn("laenge_m", (F.col("hi") - F.col("lo")) * 0.05), m, 2.7).select("wand_id", F.round("brutto", 6).alias("brutto"), F.round("netto", 6).alias("netto"))
 
 
 @query("trimmed_box", "A55", """

@@ -79,3 +79,13 @@ def test_combine_openings_of_small_projects(spark):
     df = spark.createDataFrame(some_openings(random.Random(17)), OPENING)
     one, rounds = (sorted(map(str, M.combine_openings(df.filter("art <> 'tuer'"), df.filter("art = 'tuer'"), most=most).collect())) for most in (400, 0))
     assert one == rounds and 20 < len(one) < df.count()
+
+
+def test_nearest_wall_of_small_plans(spark):
+    rng = random.Random(18)
+    w = [(p, f"w{i:03}", rng.choice("hv"), float(rng.randint(0, 20) * 5), float(lo := rng.randint(0, 10) * 10), lo + 10.0 * rng.randint(1, 9)) for i, (p, _) in enumerate(pages(rng, 8))]
+    o = [(p, f"o{i:03}", None if i % 11 == 0 else rng.randint(0, 30) * 4.0, rng.randint(0, 30) * 4.0, i / 2) for i, (p, _) in enumerate(pages(rng, 8))]
+    walls = spark.createDataFrame(w, "plan_id int, wand_id string, achse string, pos double, lo double, hi double")
+    openings = spark.createDataFrame(o, "plan_id int, opening_id string, cx double, cy double, flaeche double")
+    lists, cells = (sorted(map(tuple, S.nearest_wall(openings, walls, 25.0, ("flaeche",), most=most).collect())) for most in (200, 0))
+    assert lists == cells and len(lists) > 40
