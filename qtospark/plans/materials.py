@@ -426,22 +426,22 @@ def roof_readings(pages: DataFrame, key: str) -> tuple[DataFrame, DataFrame, Dat
     pg = pages.filter(F.lower("text").rlike("dach|sparren"))
 
     def groups(rx, n):
-        """One struct of the pattern's groups per match."""
-        found = [F.regexp_extract_all("text", F.lit(rx), F.lit(i)) for i in range(1, n + 1)]
-        z = F.arrays_zip(*[f.alias(f"g{i}") for i, f in enumerate(found, 1)])
-        return F.explode(z).alias("m")
+        """One struct of the pattern's groups per match: the text is searched once, groups are read from its matches."""
+        found = F.regexp_extract_all("text", F.lit(rx), F.lit(0))
+        return F.explode(F.transform(found, lambda t: F.struct(*[F.regexp_extract(t, rx, i).alias(f"g{i}") for i in range(1, n + 1)]))).alias("m")
 
     a = pg.select(key, "ord", groups(ROOF_AREA_RX, 4)).select(
-        key, "ord", F.col("m.g1").alias("name"), german_number(F.col("m.g4")).alias("m2"),
+        key, "ord", F.col("m.g1").alias("name"), german_number(F.col("m.g4"), clean=True).alias("m2"),
         F.when(F.col("m.g2") != "", F.concat_ws(" × ", "m.g2", "m.g3")).alias("rechnung"))
-    areas = a.filter("m2 > 0 and m2 <= 5000").groupBy(key, F.lower("name").alias("nk"), "m2").agg(
+    # dealt out by page at once: the steps that follow group by page and shuffle no more
+    areas = a.filter("m2 > 0 and m2 <= 5000").repartition(key).groupBy(key, F.lower("name").alias("nk"), "m2").agg(
         F.min_by("name", "ord").alias("name"), F.max("rechnung").alias("rechnung"))
     h = pg.select(key, groups(ROOF_TIMBER_RX, 4)).select(
         key, F.trim("m.g2").alias("bauteil"), F.coalesce(F.nullif("m.g1", F.lit("")).cast("int"), F.lit(1)).alias("anzahl"),
         F.col("m.g3").cast("int").alias("b_cm"), F.col("m.g4").cast("int").alias("h_cm")).distinct()
     l = pg.select(key, groups(ROOF_LAYER_RX, 2)).select(
-        key, F.trim("m.g1").alias("material"), german_number(F.col("m.g2")).alias("dicke_cm"))
-    layers = l.filter(F.col("dicke_cm").between(0.1, 60)).groupBy(key, F.lower("material").alias("mk"), "dicke_cm").agg(F.min("material").alias("material"))
+        key, F.trim("m.g1").alias("material"), german_number(F.col("m.g2"), clean=True).alias("dicke_cm"))
+    layers = l.filter(F.col("dicke_cm").between(0.1, 60)).repartition(key).groupBy(key, F.lower("material").alias("mk"), "dicke_cm").agg(F.min("material").alias("material"))
     return areas, h, layers
 
 
@@ -462,14 +462,17 @@ def roof_materials(totals: DataFrame, layers: DataFrame, key: str) -> DataFrame:
         _ml("Dachlattung", "Konterlatten", "lfm", A * ROOF_FACTORS["konter"], "Fläche × lfm/m²"),
         _ml("Unterdach", "Unterspannbahn", "m²", A * ROOF_FACTORS["unterspann"], "Fläche × Überlappung"),
     ]
-    t = totals.filter(A > 0)
-    base = t.select(key, F.inline(F.array(*lines)))
-    m = F.lower("material")
-    not_roof = m.rlike("fassad|trennwand|trittschall|perimeter|estrich|sockel|kellerdeck|bodenplatt|innenputz|außenputz|aussenputz|wandputz|vorsatzschal")
-    ins = m.rlike("dämmung|daemmung|mineralwolle|pur|xps|gefälle")
-    j = layers.filter(~not_roof).join(t, key)
-    name = F.concat("material", F.lit(" "), F.col("dicke_cm").cast("string"), F.lit("cm"))
-    extra = j.select(key, F.inline(F.array_compact(F.array(
-        _ml("Dämmung", name, "m³", A * F.col("dicke_cm") / 100.0, "Fläche × Dicke", ins),
-        _ml("Schalung", name, "m²", A, "Fläche", ~ins & m.contains("schalung"))))))
-    return base.unionByName(extra)
+    # a page is one row with its layers, so that totals are worked out once
+    own = layers.groupBy(key).agg(F.collect_list(F.struct("material", "dicke_cm")).alias("_l"))
+
+    def of_layer(layer: Column) -> Column:
+        m = F.lower(layer["material"])
+        not_roof = m.rlike("fassad|trennwand|trittschall|perimeter|estrich|sockel|kellerdeck|bodenplatt|innenputz|außenputz|aussenputz|wandputz|vorsatzschal")
+        ins = m.rlike("dämmung|daemmung|mineralwolle|pur|xps|gefälle")
+        name = F.concat(layer["material"], F.lit(" "), layer["dicke_cm"].cast("string"), F.lit("cm"))
+        return F.array_compact(F.array(
+            _ml("Dämmung", name, "m³", A * layer["dicke_cm"] / 100.0, "Fläche × Dicke", ~not_roof & ins),
+            _ml("Schalung", name, "m²", A, "Fläche", ~not_roof & ~ins & m.contains("schalung"))))
+
+    j = totals.filter(A > 0).join(own, key, "left")
+    return j.select(key, F.inline(F.concat(F.array(*lines), F.coalesce(F.flatten(F.transform("_l", of_layer)), F.array()))))

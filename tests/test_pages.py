@@ -105,3 +105,16 @@ def test_copy_subtree_shuffles_no_other_companies(spark):
         assert made["rooms"].count() == made["plans"].count() > 900
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_roof_texts_are_searched_once(spark):
+    from qtospark.plans import materials
+
+    text = "Dach\nDachfläche Nord: 5,50 x 4 = 22,00 m²\nDachfläche Süd: 10 m²\nMineralwolle 18 cm\nSchalung 2,4 cm\nTrittschall 3 cm"
+    pages_ = spark.createDataFrame([("a", 1, text), ("b", 1, "Dachfläche gesamt: 1.050,5 m²"), ("c", 1, "Dach\nMineralwolle 20 cm")], "page string, ord int, text string")
+    areas, _, layers = materials.roof_readings(pages_, "page")
+    got = materials.roof_materials(materials.roof_totals(areas, "page"), layers, "page")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 2
+    rows = {(r.page, r.material): round(r.menge, 4) for r in got.collect()}
+    assert len(rows) == 10 and rows["a", "Dacheindeckung"] == 33.6 and rows["b", "Dachlatten"] == 3466.65
+    assert rows["a", "Mineralwolle 18.0cm"] == 5.76 and rows["a", "Schalung 2.4cm"] == 32.0
