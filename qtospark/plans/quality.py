@@ -134,12 +134,16 @@ def opening_plausibility(openings: DataFrame) -> DataFrame:
 
 
 def calculation_consistency(positions: DataFrame, rooms: DataFrame) -> DataFrame:
-    """Negative totals, floor and screed sums off by more than 10 %, missing sill position."""
+    """Negative totals, floor and screed sums off by more than 10 %, missing sill position.
+
+    Sums are exact, so that no order of summing makes a total of zero a positive one or decides at the limit.
+    """
+    exact = lambda c: F.sum(c.try_cast("decimal(28,10)")).cast("double")
     neg = _emit(positions, ["projekt_id"], [finding("negativ", "KRITISCH", F.col("endsumme") < 0, F.col("posnr"))])
-    area = rooms.groupBy("projekt_id").agg(F.sum(F.when(F.col("flaeche_m2") > 0, F.col("flaeche_m2"))).alias("f"))
+    area = rooms.groupBy("projekt_id").agg(exact(F.when(F.col("flaeche_m2") > 0, F.col("flaeche_m2"))).alias("f"))
     s = positions.groupBy("projekt_id").agg(
-        F.sum(F.when(F.col("gewerk") == "bodenbelag", F.col("endsumme"))).alias("belag"),
-        F.sum(F.when(F.col("gewerk") == "estrich", F.col("endsumme"))).alias("estrich"),
+        exact(F.when(F.col("gewerk") == "bodenbelag", F.col("endsumme"))).alias("belag"),
+        exact(F.when(F.col("gewerk") == "estrich", F.col("endsumme"))).alias("estrich"),
         F.bool_or(F.col("gewerk").isin("fensterbank", "fensterbaenke")).alias("bank"))
     d = area.join(s, "projekt_id", "left")
     none = F.lit(None).cast("string")

@@ -118,3 +118,13 @@ def test_roof_texts_are_searched_once(spark):
     rows = {(r.page, r.material): round(r.menge, 4) for r in got.collect()}
     assert len(rows) == 10 and rows["a", "Dacheindeckung"] == 33.6 and rows["b", "Dachlatten"] == 3466.65
     assert rows["a", "Mineralwolle 18.0cm"] == 5.76 and rows["a", "Schalung 2.4cm"] == 32.0
+
+
+def test_totals_of_zero_are_not_positive(spark):
+    from qtospark.plans import quality
+
+    rooms = spark.createDataFrame([(1, 100.0), (1, None), (2, 30.3), (2, 3.0)], "projekt_id int, flaeche_m2 double")
+    lines = [(1, "estrich", v) for v in (0.1, 0.2, -0.3)] + [(1, "bodenbelag", 95.0), (1, "fensterbank", 1.0), (2, "estrich", 29.97), (2, "fensterbank", 1.0)]
+    p = spark.createDataFrame([(k, g, "1", v) for k, g, v in lines], "projekt_id int, gewerk string, posnr string, endsumme double").coalesce(1)
+    found = {(r.projekt_id, r.check) for r in quality.calculation_consistency(p, rooms).collect()}
+    assert found == {(1, "negativ")}
