@@ -257,8 +257,8 @@ NW = FACES + """
 
 
 def _walls(t: Tables):
-    # dealt out by line of walls at once: the steps of wall_faces shuffle no more
-    f = S.wall_faces(t.segments.select(*S.SEG, "lo", "hi").repartition(*S.SEG))
+    # dealt out by plan at once: the steps of wall_faces and a join by page shuffle no more
+    f = S.wall_faces(t.segments.select(*S.SEG, "lo", "hi").repartition("plan_id"))
     return f.withColumn("wand_id", F.concat_ws(":", F.col("plan_id").cast("string"), "achse", F.col("pos").cast("string"), F.col("lo").cast("string")))
 
 

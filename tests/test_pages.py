@@ -175,3 +175,29 @@ def test_door_codes_near_no_opening(spark):
     assert lists == cells and 10 < len(lists) < codes.count()
     one, rounds = (sorted(map(str, D.lone_door_codes(codes, openings, keys, most=most).collect())) for most in (2000, 0))
     assert one == rounds and len(one) > 5
+
+
+def test_layer_tables_of_small_pages(spark):
+    rng = random.Random(22)
+    words = ["120 mm", "80 mm", "15 mm", "1 mm", "AW1 Wand im Bestand", "IW 2a Trennwand neu", "Stahlbeton lt. Statik", "Mineralwolle", "Gipskartonbauplatte", "Holzständer", "AW1", " "]
+    rows = [(p, s, f"s{i:04}", i % 50, None if i % 23 == 0 else rng.randint(0, 6) * 60.0, float(rng.randint(0, 20) * 18), float(i % 7 * 60 + i % 2 * 30), rng.choice(words))
+            for i, (p, s) in enumerate(pages(rng, 16) * 4)]
+    df = spark.createDataFrame(rows, PAGE + "span_id string, ord int, cx double, cy double, x0 double, text string")
+    lists, cells = (D.layer_tables(df, ["plan_id", "seite"], most=most) for most in (400, 0))
+    assert "Join" not in lists._jdf.queryExecution().executedPlan().toString()  # heads look through the list of their page
+    lists, cells = (sorted(map(str, x.collect())) for x in (lists, cells))
+    assert lists == cells and len(lists) > 10 and any("beton" in r for r in lists)
+
+
+def test_snap_to_dimension_of_small_pages(spark):
+    rng = random.Random(23)
+    dims = spark.createDataFrame(
+        [(p, s, None if i % 19 == 0 else float(rng.randint(0, 12) * 15), float(rng.randint(0, 12) * 15), rng.choice([100.0, 104.0, 96.0, 300.0, 312.0])) for i, (p, s) in enumerate(pages(rng, 14))] * 2,
+        PAGE + "x double, y double, cm double")
+    walls = spark.createDataFrame(
+        [(f"w{i:03}", p, s, float(rng.randint(0, 12) * 15), float(rng.randint(0, 12) * 15), rng.choice([100.0, 305.0, 500.0])) for i, (p, s) in enumerate(pages(rng, 15))],
+        "wand_id string, " + PAGE + "cx double, cy double, cm_gemessen double")
+    lists, cells = (S.snap_to_dimension(walls, dims, most=most) for most in (400, 0))
+    assert "Aggregate" not in lists._jdf.queryExecution().executedPlan().toString()  # no pair leaves the join
+    lists, cells = (sorted(map(tuple, x.collect())) for x in (lists, cells))
+    assert lists == cells and len(lists) == walls.count() and 10 < sum(r[2] for r in lists) < len(lists)
