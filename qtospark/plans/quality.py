@@ -38,18 +38,26 @@ def _emit(df: DataFrame, keep: list[str], rules: list[Column]) -> DataFrame:
 
 
 def height_findings(rooms: DataFrame) -> DataFrame:
-    """Impossible and unusual heights per room, and wide scatter per project."""
+    """Impossible and unusual heights per room, and wide scatter per project.
+
+    The scatter is compared with its limit in whole micrometres, so that no order of summing decides at the limit
+    (in doubles only for heights beyond 100 km).
+    """
     h, name = F.col("hoehe_m"), F.col("name")
     r = rooms.filter("hoehe_m > 0")
     rows = _emit(r, ["projekt_id"], [
         finding("hoehen", "fehler", (h < 1.8) | (h > 5.0), name),
         finding("hoehen", "warnung", ~((h < 1.8) | (h > 5.0)) & ((h < 2.2) | (h > 4.0)), name),
     ])
+    q = F.when(h < 1e5, F.rint(h * 1e6)).cast("decimal(12,0)")
     g = r.groupBy("projekt_id").agg(
-        F.count(F.lit(1)).alias("n"), F.stddev_samp("hoehe_m").alias("s"),
+        F.count(F.lit(1)).alias("n"), F.count(q).alias("nq"), F.sum(q).alias("sq"), F.sum(q * q).alias("sqq"), F.stddev_samp("hoehe_m").alias("s"),
         F.min_by("name", F.struct("hoehe_m", "room_id")).alias("lo"), F.max_by("name", F.struct("hoehe_m", "room_id")).alias("hi"))
+    n = F.col("n").cast("decimal(10,0)")
+    wide = n * F.col("sqq") - F.col("sq") * F.col("sq") > F.lit(90_000_000_000) * n * (n - 1)  # variance above 0.30²
+    wide = F.when(F.col("nq") == F.col("n"), wide).otherwise(F.col("s") > 0.30)
     spread = _emit(g, ["projekt_id"], [
-        finding("hoehen_streuung", "info", (F.col("n") >= 3) & (F.col("s") > 0.30), F.concat_ws(" / ", "lo", "hi"))])
+        finding("hoehen_streuung", "info", (F.col("n") >= 3) & wide, F.concat_ws(" / ", "lo", "hi"))])
     return rows.unionByName(spread)
 
 

@@ -201,3 +201,14 @@ def test_snap_to_dimension_of_small_pages(spark):
     assert "Aggregate" not in lists._jdf.queryExecution().executedPlan().toString()  # no pair leaves the join
     lists, cells = (sorted(map(tuple, x.collect())) for x in (lists, cells))
     assert lists == cells and len(lists) == walls.count() and 10 < sum(r[2] for r in lists) < len(lists)
+
+
+def test_scatter_of_heights_at_its_limit(spark):
+    from qtospark.plans import quality
+
+    limit = [2.3, 2.6, 2.9]  # a deviation of exactly 0.30, by doubles just below or above it
+    rows = [(k, h + 0.01 * k) for k in range(40) for h in limit] + [(90, 2.3), (90, 2.6), (90, 2.91), (91, 2.5), (91, 1e6), (91, 2.6), (92, 2.3), (92, 3.9)]
+    rooms = spark.createDataFrame([(k, f"r{i:03}", "Bad", round(h, 2)) for i, (k, h) in enumerate(rows)], "projekt_id int, room_id string, name string, hoehe_m double")
+    doubles = rooms.groupBy("projekt_id").agg(F.stddev_samp("hoehe_m").alias("s")).filter("s > 0.3 AND projekt_id < 40").count()
+    found = quality.height_findings(rooms).filter("check = 'hoehen_streuung'")
+    assert doubles > 0 and {r.projekt_id for r in found.collect()} == {90, 91}
