@@ -212,3 +212,20 @@ def test_scatter_of_heights_at_its_limit(spark):
     doubles = rooms.groupBy("projekt_id").agg(F.stddev_samp("hoehe_m").alias("s")).filter("s > 0.3 AND projekt_id < 40").count()
     found = quality.height_findings(rooms).filter("check = 'hoehen_streuung'")
     assert doubles > 0 and {r.projekt_id for r in found.collect()} == {90, 91}
+
+
+def test_totals_of_projects_carry_no_room_keys(spark):
+    from qtospark.plans import trades
+    from qtospark.sources import adapters
+
+    rooms, openings, building = (adapters.table(spark, "/root/testdata/sf0.001", n) for n in ("rooms", "openings", "building"))
+    best = trades.best_building(building)
+    lines = [trades.trade_lines(rooms, openings, best, ["putz", "fliesen"], by_room=b) for b in (True, False)]
+    assert lines[1].filter("rkey IS NOT NULL").isEmpty() and not lines[0].filter("rkey IS NOT NULL").isEmpty()
+    keyed, free = (sorted(map(str, trades.positions(x).withColumn("endsumme", F.round("endsumme", 3)).collect())) for x in lines)
+    assert keyed == free and len(free) > 50
+    plan = trades.assign_openings(rooms, openings)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    deal = next(i for i, line in enumerate(plan) if "RepartitionByExpression" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    below = [line for i, line in enumerate(plan) if i > deal and depth(line) > depth(plan[deal]) and all(depth(x) > depth(plan[deal]) for x in plan[deal + 1:i])]
+    assert below and not any("md5(" in line for line in below)
