@@ -16,6 +16,7 @@ from .common import Scratch, components, documents, slices, words
 
 REGION = 0.2  # share of the hash range whose shingles are a document's prefix
 COMMON = 24  # a shingle in the prefixes of more groups moves to the end of the order
+SLICE = 2 << 20  # bytes of text that are split into shingles at once
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,7 +58,7 @@ def _profile(size: int, region: float):
     cut = np.uint64(int(region * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             sets = shingle_sets(b.column("text"), size)
             low = [s[:np.searchsorted(s, cut)] for s in sets]
             n = [len(s) for s in sets]
@@ -75,7 +76,7 @@ def _rest(size: int, region: float):
     cut = np.uint64(int(region * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             sets = shingle_sets(b.column("text"), size)
             keys = [_number(s.tobytes()) for s in sets]
             out = pa.RecordBatch.from_arrays([
@@ -89,7 +90,7 @@ def _rest(size: int, region: float):
 
 def _whole(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             data = [s.tobytes() for s in shingle_sets(b.column("text"), size)]
             out = pa.RecordBatch.from_arrays([b.column("cid"), pa.array(data, pa.binary())], ["cid", "s"])
             yield out.filter(pc.equal(pa.array([_number(d) for d in data], pa.int64()), b.column("cid")))
@@ -123,7 +124,9 @@ class JaccardJoin:
     2. Where the prefix of a group holds too few uncommon shingles, its member sets, which may
        differ in all the rest, are joined one by one on that rest likewise.
     3. Of these, sets made almost wholly of common shingles (large groups of near copies) are
-       listed by each common shingle of their prefix in the final order.
+       listed by each common shingle of their prefix in the final order, the rarer ones first.  Two
+       of them that share no uncommon shingle link only if, from the first one they share on, both
+       have as many left as the need (``most``).
 
     Pairs, groups and lists are then settled among their member sets: every two members
     must end in one component or be compared.  In each round one member of a list, in later ones
@@ -196,11 +199,12 @@ class JaccardJoin:
         pairs2 = pairs2.filter(F.least("ra", "rb") + F.col("shared") + F.least("ha", "hb") >= self._need(na, nb))
         # the last part: common shingles, for sets that have hardly any other
         last = short.select("gid", "cid", "n", (least - (F.col("r") - F.col("hot")) - (F.col("n") - F.col("r") - F.col("hot2"))).alias("k")).filter("k > 0")
-        often = lambda p, key: p.filter(F.col("c") > COMMON).select(F.col("gid").alias(key), "h")
+        often = lambda p, key: p.filter(F.col("c") > COMMON).select(F.col("gid").alias(key), F.struct("c", "h").alias("h"))
         last = last.join(often(post, "gid"), "gid").select("cid", "n", "k", "h").unionByName(last.join(often(post2, "cid"), "cid").select("cid", "n", "k", "h"))
         order = F.array_sort(F.collect_list("h"))
         lists = last.groupBy("cid", "n", "k").agg(order.alias("hs")).select(
-            "cid", "n", F.explode(F.slice("hs", F.lit(1), F.col("k").cast("int"))).alias("h"))
+            "cid", "n", F.size("hs").alias("_all"), F.posexplode(F.slice("hs", F.lit(1), F.col("k").cast("int"))).alias("_at", "h"))
+        lists = lists.select("cid", "n", (F.col("_all") - F.col("_at")).cast("long").alias("most"), "h.h")
         # groups without an uncommon shingle have been joined set by set; other sets of equal size may be unable to link
         crowd = members.groupBy("gid", "n").agg(F.count(F.lit(1)).alias("_m")).filter((F.col("_m") > 1) & (self._need(F.col("n"), F.col("n")) < F.col("n")))
         crowd = crowd.join(info.filter("r > hot"), "gid", "left_semi").select("gid")
@@ -210,7 +214,8 @@ class JaccardJoin:
         entries = entries.join(members, "gid").select("list", "score", "cid", "n")
         both = F.inline(F.array(F.struct(F.col("ga").alias("cid"), na.alias("n")), F.struct(F.col("gb").alias("cid"), nb.alias("n"))))
         entries = entries.unionByName(pairs2.select(F.xxhash64(F.lit("s"), "ga", "gb").alias("list"), score, both))
-        entries = put(entries.unionByName(lists.select(F.xxhash64(F.lit("h"), "h").alias("list"), F.lit(1.0).alias("score"), "cid", "n")))
+        lists = lists.select(F.xxhash64(F.lit("h"), "h").alias("list"), F.lit(1.0).alias("score"), "cid", "n", "most")
+        entries = put(entries.withColumn("most", F.col("n")).unionByName(lists))
         used = entries.select("cid").distinct().join(t_ids.groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "cid")
         sets = put(once(self._texts(used.select("doc_id", "cid"), "cid").mapInArrow(_whole(size), "cid long, s binary"), "cid"))
         self.store.drop(post, post2, reps, more, info, members, short)
@@ -228,7 +233,7 @@ class JaccardJoin:
         tested, comp = none, self.spark.createDataFrame([], "node long, component long")
         while True:
             lab = put(entries.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")))
-            turn = F.struct(F.xxhash64("cid").alias("o"), F.col("cid").alias("p"), F.col("n").alias("np"), F.col("component").alias("pc"))
+            turn = F.struct(F.xxhash64("cid").alias("o"), F.col("cid").alias("p"), F.col("n").alias("np"), F.col("component").alias("pc"), F.col("most").alias("pm"))
             live = lab.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
             part = F.pmod(F.xxhash64("cid", F.lit(k)), F.lit(4 ** max(0, k - 1)))  # more members at once in later rounds
             live = lab.join(live, "list", "left_semi").groupBy("list", part.alias("part")).agg(F.min(turn).alias("t"))
@@ -236,7 +241,8 @@ class JaccardJoin:
             if live.isEmpty():
                 self.store.drop(lab, live, sets)
                 return comp
-            cand = lab.join(live, "list").filter((F.col("component") != F.col("pc")) & self._fits(F.col("n"), F.col("np")))
+            cand = lab.join(live, "list").filter((F.col("component") != F.col("pc")) & self._fits(F.col("n"), F.col("np"))
+                                                 & (F.least("most", "pm") >= self._need(F.col("n"), F.col("np"))))
             cand = cand.groupBy("cid", "n", "p", "np").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("lists"))
             if k < 1:  # each set with its best partner
                 best = F.max_by(F.struct("p", "np"), F.struct("score", "lists", "p"))

@@ -2,11 +2,13 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from qtospark.llm import embeddings, similarity_join, substrings, suffixes
+from qtospark.llm import common, embeddings, similarity_join, substrings, suffixes
 
 from .data import empty, rows, table
 
@@ -115,6 +117,43 @@ def test_jaccard_join_short_groups_are_no_crowds(spark, monkeypatch):
     assert seen == [0]
 
 
+def test_jaccard_join_compares_few_of_a_common_passage(spark, monkeypatch):
+    """Texts put together from passages that many share: few pairs could link, and only these are compared."""
+    rng = random.Random(13)
+    passages = [["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60)] for _ in range(10)]
+    texts = [" ".join(w for p in rng.sample(passages, 3) for w in p) for _ in range(160)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    compared = []
+
+    class Counting(common.Scratch):
+        def put(self, df, *more):
+            out = super().put(df, *more)
+            if df.columns == ["x", "y", "ok"]:
+                compared.append(out.count())
+            return out
+
+    monkeypatch.setattr(similarity_join, "Scratch", Counting)
+    got = {r[0]: r[1:] for r in similarity_join.jaccard_components(docs, 5, 4, 5).collect()}
+    n, comp = brute_jaccard(texts, 5, 4, 5)
+    assert got == {i: (n[i], comp[i]) for i in range(len(texts))}
+    assert 0 < sum(compared) < 3000
+
+
+def test_scratch_leaves_no_shuffle_files(spark, tmp_path):
+    conf = {k: spark.conf.get(k, None) for k in common.WRITING}
+    left = lambda: {b.toString() for b in to_list(blocks()) if b.isShuffle()}
+    blocks = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    to_list = lambda s: [s.apply(i) for i in range(s.size())]
+    before = left()
+    out = common.Scratch(spark).put(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if left() <= before:
+            break
+        time.sleep(0.2)
+    assert left() <= before and out.count() == 7
+    assert conf == {k: spark.conf.get(k, None) for k in common.WRITING}
+
+
 def test_jaccard_join_odd_rows(spark):
     r = rows()
     got = Counter(map(tuple, similarity_join.jaccard_components(table(spark)).collect()))
