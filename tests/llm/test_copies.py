@@ -6,6 +6,8 @@ import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from qtospark.llm import common, embeddings, similarity_join, substrings, suffixes
@@ -223,6 +225,20 @@ def test_repeats(spark, monkeypatch):
             assert got[i] == want, i
 
 
+def test_repeats_buckets_are_tasks_of_their_own(spark, monkeypatch):
+    """Suffix arrays take few bytes and much time: AQE must not put all of them in one task."""
+    docs = spark.createDataFrame(list(enumerate(repeated_texts())), "doc_id long, text string")
+
+    def one(t):
+        return pa.table({"tid": pa.array([b""], pa.binary()), "f": pa.array([TaskContext.get().partitionId()], pa.int64()), "l": pa.array([-1], pa.int64())})
+
+    monkeypatch.setattr(substrings, "BATCH", 16)
+    monkeypatch.setattr(substrings, "_suffixes", one)
+    ranges, _ = substrings.repeats(docs, 64)
+    dealt = {r.f for r in ranges.filter("tid = X''").collect()}
+    assert len(dealt) > 1
+
+
 def test_repeats_odd_rows(spark):
     got = Counter((r[0], *r[1:4], bytes(r[4])) for r in substrings.remove_repeats(table(spark)).collect())
     want = brute_repeats([r[1] for r in rows()], 400)
