@@ -138,3 +138,44 @@ def test_rounding_is_that_of_the_sql(spark):
     got = [(r.r, r.z) for r in d.select("r", german_format(F.col("r")).alias("z"), "i").orderBy("i").collect()]
     sql = "select round(x, 3), replace(format('{:.2f}', round(x, 3)), '.', ',') from (select unnest(?::DOUBLE[]) x, generate_subscripts(?::DOUBLE[], 1) i) order by i"
     assert got == duckdb.connect().execute(sql, [xs, xs]).fetchall()
+
+
+def test_assignment_deals_both_sides_out_together(spark, monkeypatch):
+    """Scopes that are cut by the ends of batches, and pairs measured in slices."""
+    from qtospark.operators import assignment
+
+    rooms, openings = _house()
+    monkeypatch.setattr(assignment, "PAIRS", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        a = T.assign_openings(spark.createDataFrame(rooms, ROOM), spark.createDataFrame(openings, OPENING))
+        deals = a._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        got = {(x.opening_id, x.room_id, x.zuordnung) for x in a.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == _plain(rooms, openings) and deals == 1
+
+
+def test_methods_that_read_the_tables_are_compiled(spark):
+    """The JVM does not compile methods of more than 8000 bytes."""
+    from qtospark.catalog import Tables
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        t = Tables(spark, "/root/testdata/sf0.001")
+        lines = T.trade_lines(t.rooms, t.openings, T.best_building(t.building), by_room=False)
+        plan = T.positions(lines)._jdf.queryExecution().executedPlan()
+        code = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(plan)
+        sizes = [code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) <= 8000
+
+
+@pytest.mark.parametrize("values", [(0.1, 0.2, -0.3), (-0.3, 0.1, 0.2), (0.3, -0.1, -0.2), (-0.1, -0.2, 0.3)])
+def test_totals_of_zero_have_no_sign(spark, values):
+    from qtospark.sources import files
+
+    lines = spark.createDataFrame([(8, "fliesen", "1.2", "m²", v) for v in values], "projekt_id long, gewerk string, posnr string, einheit string, wert double").coalesce(1)
+    p = T.positions(lines)
+    assert files.csv_lines(p, ["endsumme"], ["projekt_id"]).first().zeile == "0,00" and p.first().endsumme == 0.0
