@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .spatial import nearest
+from .walks import PAIR_ROWS, each_group, split_groups
 
 
 def _spots(df: DataFrame, keys: list[str], node: str, x: str, y: str) -> DataFrame:
@@ -14,16 +17,52 @@ def _spots(df: DataFrame, keys: list[str], node: str, x: str, y: str) -> DataFra
 
 
 def greedy_nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str,
-                   radius: float, x: str = "cx", y: str = "cy") -> DataFrame:
+                   radius: float, x: str = "cx", y: str = "cy", most: int = PAIR_ROWS) -> DataFrame:
     """Greedy assignment in ascending distance: ``(left_id, right_id, dist)``.
 
+    Groups of at most ``most`` rows of both sides are walked by one task; larger ones go by :func:`_by_rounds`, which
+    takes the same pairs.
+    """
+    here = F.col(x).isNotNull() & F.col(y).isNotNull()
+    for k in keys:
+        here = here & F.col(k).isNotNull()
+    a, b = left.filter(here).select(left_id, *keys, x, y), right.filter(here).select(right_id, *keys, x, y)
+    rows = cut(a.unionByName(b, allowMissingColumns=True))
+    small, large = split_groups(rows, keys, most)
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def walk(group: list[dict]) -> list[dict]:
+        lhs, rhs = [r for r in group if r[left_id] is not None], [r for r in group if r[right_id] is not None]
+        pairs = []
+        for p in lhs:
+            for q in rhs:
+                d = math.sqrt((p[x] - q[x]) * (p[x] - q[x]) + (p[y] - q[y]) * (p[y] - q[y]))
+                if d <= radius:
+                    pairs.append((d, p[left_id], q[right_id]))
+        taken, used, out = set(), set(), []
+        for d, i, j in sorted(pairs):
+            if i not in taken and j not in used:
+                taken.add(i)
+                used.add(j)
+                out.append({left_id: i, right_id: j, "dist": d})
+        return out
+
+    out = each_group(small, keys, [], walk, f"`{left_id}` {kind[left_id]}, `{right_id}` {kind[right_id]}, dist double")
+    if large is None:
+        return out
+    sides = [large.filter(F.col(i).isNotNull()).select(i, *keys, x, y) for i in (left_id, right_id)]
+    return out.unionByName(_by_rounds(*sides, keys, left_id, right_id, radius, x, y))
+
+
+def _by_rounds(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, radius: float, x: str, y: str) -> DataFrame:
+    """:func:`greedy_nearest` for groups of any size.
+
     Rows of one spot are one candidate.  Every round takes the pairs of spots that are nearest
     to each other from both sides, and of these as many rows as both spots have, in id order:
     just what the sequential walk would take next.  Where a spot has several nearest ones, rows
     of these take turns, so only one pair is taken.  A crowd on one spot costs one round.
     """
-    a = cut(left.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(left_id, *keys, x, y))
-    b = cut(right.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(right_id, *keys, x, y))
+    a, b = cut(left), cut(right)
     parts = []
     while True:
         sa, sb = _spots(a, keys, left_id, x, y), _spots(b, keys, right_id, x, y)
