@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import square_perimeter
+from ..functions.numbers import steady_sum
 from ..functions.rules import graduated_factor
 
 
@@ -38,9 +39,9 @@ def storey_scaled_paint(rooms: DataFrame, openings: DataFrame, storeys: int, fla
     """Paint of the ground floor and its scaling to the upper floors.
 
     This rule set takes the deduction band from the *sum* of a room's openings, unlike the
-    per-opening rule above; the two are kept apart on purpose.
+    per-opening rule above; the two are kept apart on purpose.  No order of adding decides the band of a sum at its limit.
     """
-    per = openings.groupBy("room_id").agg(F.sum(F.coalesce("breite_m", F.lit(0.0)) * F.coalesce("hoehe_m", F.lit(0.0))).alias("o"))
+    per = openings.groupBy("room_id").agg(steady_sum(F.coalesce("breite_m", F.lit(0.0)) * F.coalesce("hoehe_m", F.lit(0.0))).alias("o"))
     zero = F.lit(0.0)
     u, f = F.coalesce("umfang_m", zero), F.coalesce("flaeche_m2", zero)
     r = rooms.join(per, "room_id", "left").withColumn("o", F.coalesce("o", zero))

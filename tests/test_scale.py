@@ -179,3 +179,49 @@ def test_totals_of_zero_have_no_sign(spark, values):
     lines = spark.createDataFrame([(8, "fliesen", "1.2", "m²", v) for v in values], "projekt_id long, gewerk string, posnr string, einheit string, wert double").coalesce(1)
     p = T.positions(lines)
     assert files.csv_lines(p, ["endsumme"], ["projekt_id"]).first().zeile == "0,00" and p.first().endsumme == 0.0
+
+
+@pytest.mark.parametrize("most", [400, 30, 0])
+def test_greedy_assignment_of_small_and_large_groups(spark, monkeypatch, most):
+    """Small groups are walked once: rounds would write every row again in each of them."""
+    from qtospark.operators import matching
+
+    rng = random.Random(9)
+    at = lambda: (float(rng.randint(0, 12) * 20), float(rng.randint(0, 12) * 20))
+    left = [(f"l{i:03}", i % 4 if i % 3 else 0, *at()) for i in range(70)]
+    right = [(f"r{i:03}", i % 4, *at()) for i in range(60)]
+    a, b = spark.createDataFrame(left, "l string, k int, cx double, cy double"), spark.createDataFrame(right, "r string, k int, cx double, cy double")
+    rounds, plain = [], matching._by_rounds
+    monkeypatch.setattr(matching, "_by_rounds", lambda *v: rounds.append(1) or plain(*v))
+    got = {x.l: (x.r, x.dist) for x in matching.greedy_nearest(a, b, ["k"], "l", "r", 100.0, most=most).collect()}
+    pairs = sorted((math.sqrt((p[2] - q[2]) ** 2 + (p[3] - q[3]) ** 2), p[0], q[0]) for p in left for q in right if p[1] == q[1])
+    want, used = {}, set()
+    for d, i, j in pairs:
+        if d <= 100.0 and i not in want and j not in used:
+            want[i] = (j, d)
+            used.add(j)
+    assert got == want and bool(rounds) == (most < 100)
+
+
+def test_sums_that_no_order_changes(spark):
+    """The band of a room's openings at its limit must not hang on the order of its openings."""
+    import functools
+    import itertools
+    import operator
+
+    from qtospark.functions.numbers import steady_sum
+    from qtospark.plans import precalc
+
+    areas = [(1.7, 1.7), (2.6, 2.1), (1.5, 1.1)]
+    rooms = spark.createDataFrame([("r", 8, "Bad", "TOP 1", 10.0, 12.0)], "room_id string, projekt_id long, name string, wohnung string, flaeche_m2 double, umfang_m double")
+    orders = list(itertools.permutations(areas))
+    o = [[("r", b, h) for b, h in p] for p in orders]
+    got = {precalc.storey_scaled_paint(rooms, spark.createDataFrame(x, "room_id string, breite_m double, hoehe_m double").coalesce(1), 4, 4, 2.7, 2.6).first().wand_eg for x in o}
+    plain = {functools.reduce(operator.add, [b * h for b, h in p]) for p in orders}
+    assert len({v <= 10 for v in plain}) == 2 or len({v <= 2.5 for v in plain}) == 2
+    assert len(got) == 1
+    rng = random.Random(3)
+    for values in ([rng.uniform(-9, 9) for _ in range(50)], [1e12, 0.1], [0.1, 0.7], [2.5], [None], [None, 0.3]):
+        s = spark.createDataFrame([(v,) for v in values], "v double").agg(steady_sum(F.col("v")).alias("s")).first().s
+        known = [v for v in values if v is not None]
+        assert s == (math.fsum(known) if known else None), values
